@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import ann, bpe, licenses, linededup, matroska, mixing, neardup, secrets, suffixes
+from quillon.llm import ann, bpe, licenses, linededup, matroska, mixing, neardup, secrets, suffixes, toxicity
 from quillon.llm.common import documents
 
 
@@ -11,6 +11,7 @@ def over_documents(query):
 
 
 QUERIES = {
+    "op1_toxicity": lambda spark, d: toxicity.query(spark, documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op2_probminhash": over_documents(neardup.query),
     "op3_mixing": over_documents(mixing.query),
     "op4_bpe": over_documents(bpe.query),
