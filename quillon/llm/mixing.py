@@ -22,7 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP, BLOCK, SHARD, ROUNDS, SEED = 3, 32, 1024, 8, 20240517
 #: Documents in a group within which running sums are formed by one window.
-GROUP = 50_000
+GROUP = 5_000
+#: Slots in a task.
+PART = 200_000
 
 
 def words(text: Column) -> Column:
@@ -56,14 +58,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return level.withColumn("target", target).select("source", "src", "weight", "source_size", "target")
 
 
-def shard_draws(sources: DataFrame, shard: int = SHARD) -> DataFrame:
+def shard_draws(sources: DataFrame, parts: int, shard: int = SHARD) -> DataFrame:
     """(src, blocks, shard, n_slots, first): how many slots of each shard a source fills, and the ordinal of its first."""
     total = F.sum("quota").over(Window.partitionBy())
     start = F.sum("quota").over(Window.orderBy("src")) - F.col("quota")
     runs = sources.withColumns({"slots": total, "start": start}).filter("quota > 0")
     runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr("(quota - 1) div 4096"))))
     # One row per 4096 slots, dealt evenly, so that a source of any size is drawn by many tasks.
-    runs = runs.repartition("src", "run")
+    runs = runs.repartition(parts, "src", "run")
     slots = runs.withColumn("slot", F.explode(F.expr("sequence(start + run * 4096, start + least(quota, (run + 1) * 4096) - 1)")))
     slots = slots.select("src", "blocks", permuted(F.col("slot"), F.col("slots")).alias("place"))
     drawn = slots.groupBy("src", "blocks", F.expr(f"place div {shard}").alias("shard")).agg(F.count("*").alias("n_slots"))
@@ -71,9 +73,9 @@ def shard_draws(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     return drawn.withColumn("first", F.coalesce(F.sum("n_slots").over(earlier), F.lit(0)))
 
 
-def slot_blocks(draws: DataFrame) -> DataFrame:
+def slot_blocks(draws: DataFrame, parts: int) -> DataFrame:
     """(shard, src, epoch, block): the block that each slot takes."""
-    slots = draws.withColumn("k", F.explode(F.expr("sequence(first, first + n_slots - 1)")))
+    slots = draws.repartition(parts, "src", "shard").withColumn("k", F.explode(F.expr("sequence(first, first + n_slots - 1)")))
     slots = slots.withColumns({"epoch": F.expr("k div blocks"), "at": F.expr("k % blocks")})
     block = permuted(F.col("at"), F.col("blocks"), F.col("src"), F.col("epoch"))
     return slots.select("shard", "src", "epoch", block.alias("block"))
@@ -102,9 +104,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, sh
     sources = shared_table(sources.withColumn("quota", F.least(quota.cast("long"), F.col("blocks") * cap)), "mix-sources")
     keys = sources.select(F.col("source").alias("_source"), "src", "source_size", "target")
     rows = join_sized(sized, keys, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    slots = slot_blocks(shard_draws(sources, shard))
+    # A few rows become very many slots, which Spark can't foresee: state how many tasks share them, and never broadcast them.
+    n_slots = sources.agg(F.sum("quota")).first()[0] or 0
+    parts = max(1, min(n_slots // PART, 100_000))
+    slots = slot_blocks(shard_draws(sources, parts, shard), parts)
     times = slots.groupBy("src", "block").agg(F.count("*").alias("times"))
-    taken = pieces(rows, n_rows, block).join(times, ["src", "block"]).groupBy("row").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
+    taken = pieces(rows, n_rows, block).join(times.hint("merge"), ["src", "block"]).groupBy("row").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     out = rows.join(taken, "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "row"), slots
 
