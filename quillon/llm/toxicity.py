@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import spread
 
@@ -313,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | float:
 
 def scored(docs: DataFrame, model: Network | float) -> DataFrame:
     """All columns of docs, and score as the last."""
-    schema = docs.schema.add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     place = docs.columns.index("text")
 
     def run(batches):
