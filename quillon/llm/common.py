@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,10 +54,10 @@ def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
-def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a table that is usually small: broadcast if a count proves it, else a shuffle join that AQE may split."""
-    n = small.limit(BROADCAST_ROWS + 1).count()
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
+    n = small.limit(most + 1).count()
+    return big.join(F.broadcast(small) if n <= most else small, on, how)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bytehash import between, mixed, prefix, slices
-from quillon.llm.common import drop_tables, shared_table, spread
+from quillon.llm.common import drop_tables, join_sized, shared_table, spread
 
 WIDTH, GRAM = 50, 16
 #: Bytes of spans whose suffixes are sorted together (more if one anchor has more), and of a text scanned at once.
 SORTED, PART = 2 << 20, 8 << 20
+#: Copies (40 bytes each) that may be broadcast to leave the work; more are joined by a shuffle.
+COPIES = 200_000
 
 
 def spans_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -47,8 +49,9 @@ def spans_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     low = np.minimum(low[: len(key) - views + 1], low[views - width : len(key) - width + 1])
     anchor = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
     start = np.arange(len(anchor))
-    text = np.searchsorted(offsets, start, "right") - 1
-    inside = start + WIDTH <= offsets[text + 1]
+    sizes = np.diff(offsets)
+    text = np.repeat(np.arange(len(sizes)), sizes)[: len(anchor)]
+    inside = start + WIDTH <= np.repeat(offsets[1:], sizes)[: len(anchor)]
     new = np.ones(len(anchor), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new & inside)
@@ -109,17 +112,18 @@ def _parts(raw: np.ndarray, offsets: np.ndarray):
 
 
 def anchors(texts: DataFrame) -> DataFrame:
-    """texts(doc_id, variant, text) -> doc_id, variant, a (anchor), lo (first window), n (windows)."""
+    """texts(doc_id, variant, text) -> a (anchor), doc_id, place: variant, first window and number of windows in one number."""
 
     def run(batches):
         for batch in batches:
-            ids, variants = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, variants = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             for i, raw, offsets in slices(batch.column(2)):
                 for part, edges, shift in _parts(raw, offsets):
                     text, a, lo, n = spans_of(part, edges)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + text]), pa.array(variants[i + text]), pa.array(a), pa.array((lo + shift).astype(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "variant", "a", "lo", "n"])
+                    place = (variants[i + text] << 54) + (lo + shift << 6) + n  # an anchor lies in at most 35 windows
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[i + text]), pa.array(place)], ["a", "doc_id", "place"])
 
-    return texts.select("doc_id", "variant", "text").mapInArrow(run, "doc_id long, variant int, a long, lo long, n long")
+    return texts.select("doc_id", "variant", "text").mapInArrow(run, "a long, doc_id long, place long")
 
 
 def repeated(texts: DataFrame) -> DataFrame:
@@ -127,7 +131,8 @@ def repeated(texts: DataFrame) -> DataFrame:
     found = anchors(spread(texts))
     by = Window.partitionBy("a")
     shared = found.withColumns({"lo_doc": F.min("doc_id").over(by), "hi_doc": F.max("doc_id").over(by)}).filter("lo_doc < hi_doc")
-    shared = shared_table(shared.select("doc_id", "variant", "a", "lo", "n"), "shared-anchors")
+    place = [F.shiftrightunsigned("place", 54).cast("int").alias("variant"), "a", F.expr("shiftright(place, 6) & (281474976710655)").alias("lo"), F.expr("place & 63").alias("n")]
+    shared = shared_table(shared.select("doc_id", *place), "shared-anchors")
     wanted = shared.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("a", "lo", "n")).alias("at"))
 
     def extract(batches):
@@ -185,19 +190,21 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def cuts(docs: DataFrame) -> DataFrame:
     """docs(doc_id: long, text) -> a row per row: doc_id, text, spans (merged byte ranges to remove)."""
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keys = given.select("doc_id", F.xxhash64("text").alias("th"), F.xxhash64(F.reverse("text")).alias("th2"), F.octet_length("text").alias("size")).filter(f"size >= {WIDTH} and doc_id is not null").distinct()
+    known = given.withColumns({"_th": F.xxhash64("text"), "_th2": F.xxhash64(F.lit(1), "text")})
+    keys = known.select("doc_id", F.col("_th").alias("th"), F.col("_th2").alias("th2"), F.octet_length("text").alias("size")).filter(f"size >= {WIDTH} and doc_id is not null").distinct()
     firsts = keys.groupBy("th", "th2").agg(F.min("doc_id").alias("first"))
     variant = F.row_number().over(Window.partitionBy("doc_id").orderBy("th", "th2")) - 1
     keys = shared_table(keys.join(firsts, ["th", "th2"]).withColumn("variant", variant), "text-keys")
-    known = given.withColumns({"_th": F.xxhash64("text"), "_th2": F.xxhash64(F.reverse("text"))})
-    same = (F.col("_th") == F.col("th")) & (F.col("_th2") == F.col("th2"))
-    alone = keys.filter("doc_id = first").select(F.col("doc_id").alias("_doc"), "th", "th2", "variant")
-    alone = known.join(alone, same & (F.col("doc_id") == F.col("_doc"))).select("doc_id", "variant", "text").dropDuplicates(["doc_id", "variant"])
-    found = repeated(shared_table(alone, "alone-texts"))
+    same = (F.col("_th") == F.col("th")) & (F.col("_th2") == F.col("th2")) & (F.col("doc_id") == F.col("_doc"))
+    # Copies leave; the few texts that share a doc_id with another are numbered.
+    odd = keys.filter("doc_id > first or variant > 0").select(F.col("doc_id").alias("_doc"), "th", "th2", "variant", "first")
+    alone = join_sized(known.filter(f"octet_length(text) >= {WIDTH} and doc_id is not null"), odd, same, "left", COPIES)
+    alone = alone.filter("first is null or doc_id = first").select("doc_id", F.coalesce("variant", F.lit(0)).alias("variant"), "text")
+    found = repeated(alone)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b")))
     to_cut = keys.join(found, ["doc_id", "variant"], "left").withColumn("cut", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("cut")))
     to_cut = shared_table(to_cut.filter("cut is not null").select(F.col("doc_id").alias("_doc"), "th", "th2", "cut"), "cuts")
-    return known.join(to_cut, same & (F.col("doc_id") == F.col("_doc")), "left").select("doc_id", "text", "cut")
+    return known.join(to_cut, same, "left").select("doc_id", "text", "cut")
 
 
 def dedup(docs: DataFrame, kept: bool = False) -> DataFrame:
