@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back. Cuts lineage: a lost executor costs a re-read, not a re-run.
 
-    Shuffle files of the finished job are let go at once, so that two steps' files are not on disk together."""
+    Shuffle files of the finished job are let go, so that two steps' files are not on disk together; settle: after a
+    large one, wait until Spark no longer holds the job and its cleaner has run."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2 * settle):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -124,7 +124,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, least:
     keys = nodes.select("node", "doc_id", "th").join(wanted, "node")
     texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_th"))
     texts = texts.join(keys, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th"))).select("node", "text").dropDuplicates(["node"])
-    texts = shared_table(texts, "pair-texts")
+    texts = shared_table(texts, "pair-texts", settle=True)
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
 
     def run(batches):

@@ -132,7 +132,7 @@ def repeated(texts: DataFrame) -> DataFrame:
     by = Window.partitionBy("a")
     shared = found.withColumns({"lo_doc": F.min("doc_id").over(by), "hi_doc": F.max("doc_id").over(by)}).filter("lo_doc < hi_doc")
     place = [F.shiftrightunsigned("place", 54).cast("int").alias("variant"), "a", F.expr("shiftright(place, 6) & (281474976710655)").alias("lo"), F.expr("place & 63").alias("n")]
-    shared = shared_table(shared.select("doc_id", *place), "shared-anchors")
+    shared = shared_table(shared.select("doc_id", *place), "shared-anchors", settle=True)
     wanted = shared.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("a", "lo", "n")).alias("at"))
 
     def extract(batches):
@@ -148,7 +148,7 @@ def repeated(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * m, pa.int64()), pa.array([batch.column(1)[i].as_py()] * m, pa.int32()), a, lo, pa.array(spans, pa.binary())], ["doc_id", "variant", "a", "lo", "span"])
 
     held = texts.join(wanted, ["doc_id", "variant"]).select("doc_id", "variant", "text", "at")
-    held = shared_table(held.mapInArrow(extract, "doc_id long, variant int, a long, lo long, span binary"), "spans")
+    held = shared_table(held.mapInArrow(extract, "doc_id long, variant int, a long, lo long, span binary"), "spans", settle=True)
     drop_tables(texts.sparkSession, shared)
 
     def refine(batches):
@@ -203,7 +203,7 @@ def cuts(docs: DataFrame) -> DataFrame:
     found = repeated(alone)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b")))
     to_cut = keys.join(found, ["doc_id", "variant"], "left").withColumn("cut", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("cut")))
-    to_cut = shared_table(to_cut.filter("cut is not null").select(F.col("doc_id").alias("_doc"), "th", "th2", "cut"), "cuts")
+    to_cut = shared_table(to_cut.filter("cut is not null").select(F.col("doc_id").alias("_doc"), "th", "th2", "cut"), "cuts", settle=True)
     return known.join(to_cut, same, "left").select("doc_id", "text", "cut")
 
 
