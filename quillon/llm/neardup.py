@@ -9,8 +9,9 @@ of occurrences instead.
 Texts of equal shingle sets are one node. Nodes that agree in a band form a bucket. Each is first verified, on its
 shingles, against one leader of its bucket: rows grow with the bucket, not its square. Where verified links leave a
 bucket in several components, its members are compared across components, signature against signature, in blocks of
-bounded size; only pairs whose estimate leaves 0.8 possible are emitted, once, and verified. So every candidate pair
-is either in one component already or examined, and no group of copies is expanded into pairs.
+bounded size; pairs whose estimate leaves 0.8 possible are verified there, and only links that join components leave
+the block. So every candidate pair is either in one component already or examined, and no group of copies is expanded
+into pairs.
 
 Defined cases: null text is empty; texts without words are copies of each other; a text of fewer than five words is one
 shingle; class_id is the smallest doc_id of a class; repeated rows get equal results; an empty table gives an empty
@@ -31,8 +32,8 @@ from quillon.llm.components import components
 K, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
-#: Members of a bucket compared at once; estimates under this can't be 0.8 but for one pair in ten thousand.
-BLOCK, ESTIMATE = 1024, 0.68
+#: Members of a bucket compared at once, and their shingles; estimates under this can't be 0.8 but for one pair in ten thousand.
+BLOCK, BLOCK_ITEMS, ESTIMATE = 1024, 2_000_000, 0.68
 _MARK = np.uint64((1 << 24) - 1)
 
 
@@ -118,13 +119,35 @@ def signatures(docs: DataFrame, k: int = K, weights: str = "distinct") -> DataFr
     return spread(texts).mapInArrow(run, f"doc_id {kind}, th long, node long, node2 long, n long, bands array<long>, sig binary")
 
 
+def node_texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """wanted(node) -> node, text: one of the equal shingle sets' texts for each."""
+    keys = nodes.select("node", "doc_id", "th").join(wanted, "node")
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_th"))
+    return texts.join(keys, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th"))).select("node", "text").dropDuplicates(["node"])
+
+
+def shingle_sets(texts: DataFrame, k: int, weights: str) -> DataFrame:
+    """texts(node, text) -> node, items (sorted hashes of the distinct shingles), rates (their weights; empty if all are 1)."""
+
+    def run(batches):
+        for batch in batches:
+            items, rates = [], []
+            for _, raw, offsets in slices(batch.column(1)):
+                hashes, text = shingles(*word_hashes(raw, offsets), k)
+                edge = np.searchsorted(text, np.arange(len(offsets)))
+                for a, b in zip(edge, edge[1:], strict=False):
+                    found, rate = weighted(hashes[a:b], weights)
+                    items.append(found.tobytes())
+                    rates.append(rate.tobytes() if weights == "count" else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary()), pa.array(rates, pa.binary())], ["node", "items", "rates"])
+
+    return texts.mapInArrow(run, "node long, items binary, rates binary")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, least: float, weights: str) -> DataFrame:
     """The pairs(u, v) of nodes whose shingle sets are similar enough."""
     wanted = pairs.select("u").union(pairs.select(F.col("v"))).distinct().withColumnRenamed("u", "node")
-    keys = nodes.select("node", "doc_id", "th").join(wanted, "node")
-    texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_th"))
-    texts = texts.join(keys, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th"))).select("node", "text").dropDuplicates(["node"])
-    texts = shared_table(texts, "pair-texts", settle=True)
+    texts = shared_table(node_texts(wanted, docs, nodes), "pair-texts", settle=True)
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
 
     def run(batches):
@@ -145,27 +168,44 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, least:
 
 
 def _compare(least: float):
-    """Pairs of a block of a bucket, across components, whose estimated similarity leaves `least` possible."""
+    """Links that join components within a block of a bucket, each verified on the shingles; at most one fewer than members.
+
+    Only pairs across components whose estimated similarity leaves `least` possible are looked at, likeliest first; a
+    pair that earlier links have joined already needs no look."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, n, sub = (table[c].to_numpy() for c in ("node", "comp", "n", "sub"))
+        node, n, sub = (table[c].to_numpy() for c in ("node", "n", "sub"))
+        group = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
         band, bi, bj = (table[c][0].as_py() for c in ("band", "bi", "bj"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)
+        items = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
+        rates = [np.frombuffer(x, np.float64) for x in table["rates"].to_pylist()]
+
+        def similarity(a: int, b: int) -> float:
+            if len(rates[a]):
+                return probability_jaccard(items[a], rates[a], items[b], rates[b])
+            both = len(np.intersect1d(items[a], items[b], assume_unique=True))
+            return both / (len(items[a]) + len(items[b]) - both)
+
         rows, cols = np.flatnonzero(sub == bi), np.flatnonzero(sub == bj)
         us, vs = [], []
         for a in range(0, len(rows), 64):
             i = rows[a : a + 64]
             same = sig[i][:, None, :] == sig[cols][None, :, :]
-            first = same.reshape(len(i), len(cols), BANDS, ROWS).all(-1).argmax(-1)  # emit a pair in its first common band
-            likely = (same.mean(-1) >= ESTIMATE * least / LEAST) & (first == band) & (comp[i][:, None] != comp[cols][None, :])
+            first = same.reshape(len(i), len(cols), BANDS, ROWS).all(-1).argmax(-1)  # a pair is looked at in its first common band
+            estimate = same.mean(-1)
+            likely = (estimate >= ESTIMATE * least / LEAST) & (first == band) & (group[i][:, None] != group[cols][None, :])
             likely &= np.minimum(n[i][:, None], n[cols]) >= least * np.maximum(n[i][:, None], n[cols])
             if bi == bj:
                 likely &= node[i][:, None] > node[cols][None, :]
             x, y = np.nonzero(likely)
-            us.append(node[i[x]])
-            vs.append(node[cols[y]])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"u": np.concatenate([empty, *us]), "v": np.concatenate([empty, *vs])})
+            order = np.argsort(-estimate[x, y], kind="stable")
+            for p, q in zip(i[x[order]].tolist(), cols[y[order]].tolist(), strict=True):
+                if group[p] != group[q] and similarity(p, q) >= least - 1e-12:
+                    us.append(node[p])
+                    vs.append(node[q])
+                    group[group == group[q]] = group[p]
+        return pa.table({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
     return run
 
@@ -189,15 +229,17 @@ def classes(docs: DataFrame, k: int = K, least: float = LEAST, weights: str = "d
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     split = members.select("band", "h", "node", "n").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     split = shared_table(split, "split")
-    open_ = split.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("band", "h", "size")
-    rest = split.join(open_, ["band", "h"]).join(nodes.select("node", "sig"), "node")
-    rest = rest.withColumns({"blocks": F.expr(f"1 + (size - 1) div {BLOCK}"), "sub": F.expr(f"pmod(xxhash64(node), 1 + (size - 1) div {BLOCK})")})
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    open_ = split.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("lo < hi").select("band", "h", "size", "total")
+    wanted = split.join(open_, ["band", "h"], "left_semi").select("node").distinct()
+    sets = shingle_sets(node_texts(wanted, docs, nodes), k, weights).join(nodes.select("node", "sig"), "node")
+    sets = shared_table(sets, "open-sets", settle=True)
+    rest = split.join(open_, ["band", "h"]).withColumn("blocks", F.expr(f"1 + greatest((size - 1) div {BLOCK}, total div {BLOCK_ITEMS})"))
+    rest = rest.withColumns({"sub": F.expr("pmod(xxhash64(node), blocks)"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
     rest = rest.withColumns({"bi": F.least("sub", "other"), "bj": F.greatest("sub", "other")})
-    rest = rest.select("band", "h", "bi", "bj", "node", "comp", "n", "sub", "sig")
-    more = shared_table(rest.groupBy("band", "h", "bi", "bj").applyInArrow(_compare(least), "u long, v long"), "more-pairs")
-    links = components(verified(more, docs, nodes, k, least, weights).union(links))
-    drop_tables(docs.sparkSession, members, split)
+    rest = rest.join(sets, "node").select("band", "h", "bi", "bj", "node", "comp", "n", "sub", "sig", "items", "rates")
+    more = shared_table(rest.groupBy("band", "h", "bi", "bj").applyInArrow(_compare(least), "u long, v long"), "more-links", settle=True)
+    links = components(more.union(links))
+    drop_tables(docs.sparkSession, members, split, sets)
 
     named = nodes.select("node", "node2", "doc_id").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     named = named.withColumn("root", F.coalesce("root", F.when(F.col("node2").isNotNull(), F.col("node"))))
