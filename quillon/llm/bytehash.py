@@ -41,8 +41,8 @@ def between(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (h[b] - h[a]) * powers(INVERSE, len(h))[a]
 
 
-def slices(column: pa.Array):
-    """Consecutive texts of a string column in slices of about SLICE bytes: (first row, bytes, offsets)."""
+def slices(column: pa.Array, size: int = SLICE):
+    """Consecutive texts of a string column in slices of about size bytes: (first row, bytes, offsets)."""
     column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
     if not n:
@@ -51,7 +51,7 @@ def slices(column: pa.Array):
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 

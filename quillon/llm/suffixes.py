@@ -26,8 +26,9 @@ from quillon.llm.bytehash import between, mixed, prefix, slices
 from quillon.llm.common import drop_tables, join_sized, shared_table, spread
 
 WIDTH, GRAM = 50, 16
-#: Bytes of spans whose suffixes are sorted together (more if one anchor has more), and of a text scanned at once.
-SORTED, PART = 2 << 20, 8 << 20
+#: Bytes of spans whose suffixes are sorted together (more if one anchor has more); bytes of texts, and of one text,
+#: scanned at once: a scan holds about 120 bytes for each of them.
+SORTED, SCAN, PART = 2 << 20, 1 << 19, 1 << 20
 #: Copies (40 bytes each) that may be broadcast to leave the work; more are joined by a shuffle.
 COPIES = 200_000
 
@@ -117,7 +118,7 @@ def anchors(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, variants = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            for i, raw, offsets in slices(batch.column(2)):
+            for i, raw, offsets in slices(batch.column(2), SCAN):
                 for part, edges, shift in _parts(raw, offsets):
                     text, a, lo, n = spans_of(part, edges)
                     place = (variants[i + text] << 54) + (lo + shift << 6) + n  # an anchor lies in at most 35 windows
