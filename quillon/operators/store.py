@@ -50,14 +50,22 @@ class Store:
         self._fs.delete(at, False)
         self._fs.rename(fresh, at)
 
-    def add(self, documents: DataFrame, elements: DataFrame) -> None:
-        """Upsert both; elements without their document are refused. Documents keep created_at, elements all but four columns."""
-        old_d, old_e = self.table("documents"), self.table("elements")
+    def add(self, documents: DataFrame, elements: DataFrame, vectors: DataFrame | None = None, replace: bool = False) -> None:
+        """Upsert all; elements without their document are refused. Documents keep created_at, elements all but four columns.
+
+        replace: what was stored before of these documents' elements and vectors goes."""
+        old_d, old_e, old_v = self.table("documents"), self.table("elements"), self.table("vectors")
+        if replace:
+            keys = documents.select("document_id").distinct()
+            old_e, old_v = (t.join(keys, "document_id", "left_anti").select(t.columns) if t is not None else None for t in (old_e, old_v))
         all_d = upsert(old_d, documents, "document_id", [c for c in documents.columns if c != "created_at"]) if old_d is not None else documents
         if elements.join(all_d, "document_id", "left_anti").limit(1).count():
             raise ValueError("an element's document is missing")
         all_e = upsert(old_e, elements, "element_id", ["text", "summary", "image_path", "caption"]) if old_e is not None else elements
-        self.write(documents=all_d, elements=all_e)
+        tables = {"documents": all_d, "elements": all_e}
+        if vectors is not None:
+            tables["vectors"] = upsert(old_v, vectors, "element_id", [c for c in vectors.columns if c != "element_id"]) if old_v is not None else vectors
+        self.write(**tables)
 
     def delete(self, document_id: str) -> int:
         """Remove a document with its elements and vectors; the number of elements removed."""

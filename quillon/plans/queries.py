@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import chunking, context, enrich, geometry, retrieval, store
 from quillon.plans import views as V
+from quillon.service.engine import source_rows
 
 c = F.col
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -151,6 +152,11 @@ def contexts(spark, d):
     return context.contexts(search(spark, d), 2000)
 
 
+def sources(spark, d):
+    image = F.when(c("kind") != "text", F.concat(c("element_id"), F.lit(".png")))
+    return source_rows(search(spark, d).withColumn("image_path", image)).select("qid", "label", "element_id", "image_url")
+
+
 def clusters(spark, d):
     return geometry.cluster_boxes(V.prims(spark, d), 5.0)
 
@@ -192,6 +198,7 @@ QUERIES = {
     "enrich_decision": enriched,
     "enrich_stub": stubbed,
     "context_blocks": contexts,
+    "source_rows": sources,
     "cluster_boxes": clusters,
     "caption_binding": captioned,
 } | {name: _shared(*x) for name, x in SHARED.items()}
@@ -216,6 +223,7 @@ SQL = {name: sql for name, (_, sql) in SHARED.items()} | {
     "dense_topk": f"WITH {DENSE} SELECT qid, pos, element_id, round(dense, 6) AS dense FROM p",
     "hybrid_rank": f"WITH {LEX} SELECT qid, rank, element_id, round(lexical, 6) AS lexical, round(blend, 6) AS blend FROM k",
     "search_end_to_end": f"WITH {SEARCH} SELECT qid, place AS rank, element_id, document_id, kind, round(score, 6) AS score, page_number, caption, coalesce(nullif(CASE WHEN kind IN ('table', 'figure') THEN summary ELSE text END, ''), summary) AS text FROM z",
+    "source_rows": f"WITH {SEARCH} SELECT qid, 'S' || place AS label, element_id, CASE WHEN kind <> 'text' THEN '/elements/' || element_id || '/image' END AS image_url FROM z",
     "upsert_documents": "WITH n AS (SELECT o_orderkey + 3000 AS id, o_totalprice + 1 AS price, o_orderdate AS created_at FROM orders WHERE o_orderkey % 3 = 0) SELECT coalesce(o_orderkey, id) AS id, CASE WHEN id IS NULL THEN o_orderstatus ELSE 'new' END AS status, CASE WHEN id IS NULL THEN o_totalprice ELSE price END AS price, coalesce(o_orderdate, created_at) AS created_at FROM orders FULL JOIN n ON o_orderkey = id",
     "box_intersect_join": f"WITH p AS ({V.PRIMS}) SELECT page_number, count(*) AS n_pairs FROM p a JOIN p b USING (page_number) WHERE a.prim_no < b.prim_no AND a.x1 + 2 >= b.x0 AND b.x1 + 2 >= a.x0 AND a.y1 + 2 >= b.y0 AND b.y1 + 2 >= a.y0 GROUP BY page_number",
     "column_split": f"WITH {BL} SELECT *, n >= 6 AND n_left >= 2 AND n_right >= 2 AND across <= 0.2 * n AS two FROM (SELECT page_number, {_COLS} FROM b GROUP BY page_number)",
