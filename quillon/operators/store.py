@@ -38,7 +38,7 @@ class Store:
         return self.spark.read.parquet(f"{self.folder}/{at}") if at else None
 
     def write(self, **tables: DataFrame) -> None:
-        """New versions of the tables become current together: data first, then the manifest by an atomic rename."""
+        """New versions of the tables become current together: data first, then the manifest by delete and rename. One writer at a time."""
         manifest = self._manifest()
         for name, df in tables.items():
             manifest[name] = f"{name}/{uuid.uuid4().hex}"
