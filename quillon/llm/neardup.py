@@ -178,6 +178,7 @@ def _compare(least: float):
         group = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
         band, bi, bj = (table[c][0].as_py() for c in ("band", "bi", "bj"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         items = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
         rates = [np.frombuffer(x, np.float64) for x in table["rates"].to_pylist()]
 
@@ -191,9 +192,9 @@ def _compare(least: float):
         us, vs = [], []
         for a in range(0, len(rows), 64):
             i = rows[a : a + 64]
-            same = sig[i][:, None, :] == sig[cols][None, :, :]
-            first = same.reshape(len(i), len(cols), BANDS, ROWS).all(-1).argmax(-1)  # a pair is looked at in its first common band
-            estimate = same.mean(-1)
+            # A pair is looked at in its first common band, by the hashes that form the buckets: cells can agree by accident.
+            first = (bands[i][:, None, :] == bands[cols][None, :, :]).argmax(-1)
+            estimate = (sig[i][:, None, :] == sig[cols][None, :, :]).mean(-1)
             likely = (estimate >= ESTIMATE * least / LEAST) & (first == band) & (group[i][:, None] != group[cols][None, :])
             likely &= np.minimum(n[i][:, None], n[cols]) >= least * np.maximum(n[i][:, None], n[cols])
             if bi == bj:
@@ -231,12 +232,12 @@ def classes(docs: DataFrame, k: int = K, least: float = LEAST, weights: str = "d
     split = shared_table(split, "split")
     open_ = split.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("lo < hi").select("band", "h", "size", "total")
     wanted = split.join(open_, ["band", "h"], "left_semi").select("node").distinct()
-    sets = shingle_sets(node_texts(wanted, docs, nodes), k, weights).join(nodes.select("node", "sig"), "node")
+    sets = shingle_sets(node_texts(wanted, docs, nodes), k, weights).join(nodes.select("node", "sig", "bands"), "node")
     sets = shared_table(sets, "open-sets", settle=True)
     rest = split.join(open_, ["band", "h"]).withColumn("blocks", F.expr(f"1 + greatest((size - 1) div {BLOCK}, total div {BLOCK_ITEMS})"))
     rest = rest.withColumns({"sub": F.expr("pmod(xxhash64(node), blocks)"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
     rest = rest.withColumns({"bi": F.least("sub", "other"), "bj": F.greatest("sub", "other")})
-    rest = rest.join(sets, "node").select("band", "h", "bi", "bj", "node", "comp", "n", "sub", "sig", "items", "rates")
+    rest = rest.join(sets, "node").select("band", "h", "bi", "bj", "node", "comp", "n", "sub", "sig", "bands", "items", "rates")
     more = shared_table(rest.groupBy("band", "h", "bi", "bj").applyInArrow(_compare(least), "u long, v long"), "more-links", settle=True)
     links = components(more.union(links))
     drop_tables(docs.sparkSession, members, split, sets)

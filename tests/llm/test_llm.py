@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,16 @@ def test_hub_of_copies_loses_no_link(spark):
     assert {r.doc_id: r.class_id for r in neardup.query(spark, df).collect()} == {i: find(i) for i in range(120)}
 
 
+def test_accidental_cells_hide_no_pair():
+    """A pair whose cells agree by accident in an earlier band than its first common one is still compared."""
+    items = np.arange(200, dtype=np.uint64).tobytes()
+    bands = np.arange(2 * neardup.BANDS, dtype=np.int64).reshape(2, -1)
+    bands[1, 3:] = bands[0, 3:]
+    table = pa.table({"node": [1, 2], "n": [200, 200], "sub": [0, 0], "comp": [1, 2], "band": [3, 3], "bi": [0, 0], "bj": [0, 0], "sig": [bytes(neardup.PLACES)] * 2, "bands": bands.tolist(), "items": [items] * 2, "rates": [b""] * 2})
+    assert neardup._compare(0.8)(table).to_pylist() == [{"u": 2, "v": 1}]
+    assert neardup._compare(0.8)(table.set_column(4, "band", pa.array([4, 4]))).num_rows == 0
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(2)
     items = rng.integers(1, 2**63, 300).astype(np.uint64)
