@@ -36,12 +36,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of stay, each as often as a whole as the mix takes its words, at least once.
+    """Documents stay as often as a whole as the mix takes their words, rounded so that sources meet their targets.
 
-    A source's documents that its target leaves out go."""
-    mixed = mixing.mix(docs.select(COLUMNS))[0].filter("taken > 0")
-    mixed = mixed.select(F.col("doc_id").alias("_doc"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")).dropDuplicates(["_doc"])
-    out = docs.select(COLUMNS).join(mixed, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    Rows that agree in doc_id, source and text are one document, which all their copies are made of."""
+    docs = docs.select(COLUMNS)
+    th = F.xxhash64("text")
+
+    def key(th):
+        return F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), th).alias("_key"), th.alias("_th")
+
+    copies = mixing.whole_copies(mixing.mix(docs)[0]).filter("times > 0")
+    copies = copies.select(*key(F.col("th")), "times").groupBy("_key", "_th").agg(F.sum("times").cast("int").alias("_times"))
+    out = docs.select(*COLUMNS, *key(th)).join(copies, ["_key", "_th"]).dropDuplicates(["_key", "_th"])
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(COLUMNS)
 
 

@@ -25,6 +25,8 @@ CAP, BLOCK, SHARD, ROUNDS, SEED = 3, 32, 1024, 8, 20240517
 GROUP = 5_000
 #: Slots in a task.
 PART = 200_000
+#: Parts of a whole copy in which remainders are carried.
+ONE = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -111,8 +113,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, sh
     times = slots.groupBy("src", "block").agg(F.count("*").alias("times"))
     taken = pieces(rows, n_rows, block).join(times.hint("merge"), ["src", "block"]).groupBy("row").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     out = rows.join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "row"), slots
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "row", "th"), slots
+
+
+def whole_copies(mixed: DataFrame, group: int = GROUP) -> DataFrame:
+    """Rows of mix that are taken as whole documents -> source, doc_id, th, times.
+
+    taken / size is rounded with its remainder carried from document to document of a source, from a seeded start: times
+    is one of the two integers beside it, and a source's words stay within two documents of a group of what is taken."""
+    rows = shared_table(mixed.filter("taken > 0").select("source", "doc_id", "th", "row", "size", "taken"), "mix-taken")
+    counted = rows.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "_source")
+    rows = join_sized(rows, counted, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    share = F.expr(f"taken * {ONE} div size")
+    rows = rows.withColumns({"grp": F.pmod(F.xxhash64("doc_id", "th"), F.expr(f"1 + n div {group}")), "share": share}).drop("n")
+    starts = rows.groupBy("source", "grp").agg(F.sum("share").alias("g_share"))
+    first = F.pmod(F.xxhash64(F.lit(SEED), "source"), F.lit(ONE))
+    start = first + F.sum("g_share").over(Window.partitionBy("source").orderBy("grp")) - F.col("g_share")
+    starts = starts.select(F.col("source").alias("_source"), F.col("grp").alias("_grp"), start.alias("start"))
+    # Neighbours have like sizes, so that a carried remainder is worth about as many words where it is paid out.
+    order = Window.partitionBy("source", "grp").orderBy("size", F.xxhash64(F.lit(SEED), "doc_id", "th"), "doc_id", "th", "row")
+    rows = rows.withColumn("upto", F.sum("share").over(order))
+    rows = join_sized(rows, starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("grp") == F.col("_grp")))
+    return rows.select("source", "doc_id", "th", F.expr(f"cast((start + upto) div {ONE} - (start + upto - share) div {ONE} as int)").alias("times"))
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
-    return mix(docs)[0].drop("row", "source")
+    return mix(docs)[0].drop("row", "source", "th")

@@ -131,6 +131,27 @@ def test_mixing_meets_targets(spark):
     assert out.groupby("source").target.first().sum() == pytest.approx(out["size"].sum())
 
 
+def test_mixed_documents_meet_targets(spark):
+    """Whole documents of many blocks keep to the targets; no id and equal ids of different texts are documents of their own."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(100, 900, 600)
+    rows = [(None if i % 50 == 0 else i // 2 if i % 50 < 4 else i, f"w{i} " * n, "en", "abc"[i % 3], 1) for i, n in enumerate(sizes.tolist())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.mix_sources(spark, df, "").select("source", "text", mixing.words(F.col("text")).alias("n")).toPandas()
+    asked = mixing.mix(df)[0].groupby("source").agg(F.first("target").alias("target")).toPandas().set_index("source").target
+    kept = out.groupby("source").n.sum()
+    assert (abs(kept - asked) <= 2 * 900 + 96).all() and asked["c"] < 0.5 * sizes[2::3].sum()
+    per = out.groupby("text").size()
+    assert per.max() <= 3
+    # every document of the source that is wanted more than once stays, whatever its doc_id
+    wanted = {r[1] for r in rows if r[3] == "a"}
+    assert asked["a"] > sizes[::3].sum() and wanted <= set(per.index)
+    groups = mixing.whole_copies(mixing.mix(df)[0], 20).toPandas()
+    assert len(groups) >= 600 * 0.9 and set(groups.times) <= {0, 1, 2, 3}
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 1000):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3)).alias("p")).toPandas().p
