@@ -26,13 +26,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays (of repeated rows, one)."""
+    """Of each group of near copies the document with the smallest doc_id stays, one of no id last (of repeated rows, one)."""
     docs = docs.select(COLUMNS)
     found = neardup.classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    found = found.groupBy("doc_id").agg(F.min("th").alias("th"))
-    keys = found.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
-    out = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    # What is left of a class has one doc_id, or none; a doc_id can be left in several classes.
+    keys = found.groupBy("root").agg(F.min("doc_id").alias("_doc"), F.min("th").alias("_th"))
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    out = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left_semi")
+    return out.dropDuplicates(["doc_id", "th"]).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

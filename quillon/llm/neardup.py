@@ -14,7 +14,7 @@ the block. So every candidate pair is either in one component already or examine
 into pairs.
 
 Defined cases: null text is empty; texts without words are copies of each other; a text of fewer than five words is one
-shingle; class_id is the smallest doc_id of a class; repeated rows get equal results; an empty table gives an empty
+shingle; class_id is the smallest doc_id of a class, null only if none of its rows has one; repeated rows get equal results; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -212,11 +212,11 @@ def _compare(least: float):
 
 
 def classes(docs: DataFrame, k: int = K, least: float = LEAST, weights: str = "distinct") -> DataFrame:
-    """docs(doc_id, text) -> a row for each row: doc_id, th (hash of its text), class_id, n_shingles."""
+    """docs(doc_id, text) -> a row for each row: doc_id, th (hash of its text), root (key of its class), class_id, n_shingles."""
     docs = docs.select("doc_id", "text")
     signed = shared_table(signatures(docs, k, weights), "signatures")
-    least_doc = F.min(F.struct("doc_id", "th", "n", "bands", "sig")).alias("r")
-    nodes = shared_table(signed.groupBy("node", "node2").agg(least_doc).select("node", "node2", "r.*"), "nodes")
+    least_doc = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n", "bands", "sig")).alias("r")
+    nodes = shared_table(signed.groupBy("node", "node2").agg(least_doc).select("node", "node2", "r.*").drop("none"), "nodes")
     banded = nodes.filter("n > 0").select("node", "n", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("size")).filter("size > 1")
     members = shared_table(banded.join(buckets, ["band", "h"]), "members")
@@ -245,9 +245,9 @@ def classes(docs: DataFrame, k: int = K, least: float = LEAST, weights: str = "d
     named = nodes.select("node", "node2", "doc_id").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     named = named.withColumn("root", F.coalesce("root", F.when(F.col("node2").isNotNull(), F.col("node"))))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = named.join(smallest, "root").select("node", "node2", "class_id")
-    return signed.select("doc_id", "th", "node", "node2", F.col("n").alias("n_shingles")).join(named, ["node", "node2"]).select("doc_id", "th", "class_id", "n_shingles")
+    named = named.join(smallest, "root").select("node", "node2", "root", "class_id")
+    return signed.select("doc_id", "th", "node", "node2", F.col("n").alias("n_shingles")).join(named, ["node", "node2"]).select("doc_id", "th", "root", "class_id", "n_shingles")
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
-    return classes(docs).drop("th")
+    return classes(docs).drop("th", "root")

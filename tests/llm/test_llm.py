@@ -81,6 +81,19 @@ def test_hub_of_copies_loses_no_link(spark):
     assert {r.doc_id: r.class_id for r in neardup.query(spark, df).collect()} == {i: find(i) for i in range(120)}
 
 
+def test_copies_without_ids(spark):
+    """One document of each class stays, with a doc_id if the class has one; missing and equal ids make no texts alike."""
+    import corpus_pipeline
+
+    near = [" ".join(f"{k}w{i}" for i in range(60)) for k in "abcde"]
+    rows = [(None, near[0]), (None, near[1]), (None, near[1] + " end"), (3, near[2]), (None, near[2]), (None, near[2] + " end"), (4, near[3]), (4, near[4]), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text[:1]) for r in corpus_pipeline.drop_copies(spark, df, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a"), (None, "b"), (3, "c"), (4, "d"), (4, "e"), (None, "")], key=str)
+    ids = {(r.doc_id, r.class_id) for r in neardup.query(spark, df).collect()}
+    assert ids == {(None, None), (3, 3), (None, 3), (4, 4)}
+
+
 def test_accidental_cells_hide_no_pair():
     """A pair whose cells agree by accident in an earlier band than its first common one is still compared."""
     items = np.arange(200, dtype=np.uint64).tobytes()
