@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -219,6 +220,24 @@ def test_licenses():
         assert all(m.best(licenses.bigrams(licenses.normalised(t)))[1] == name for t in texts)
 
 
+def test_licences_over_lines():
+    """Complete licences and notices, wrapped, alone or within other lines, are found; each complete text as itself."""
+    m = licenses.Matcher()
+    prose = "\n".join(f"line {i} of prose about things that are not law {i * 7}" for i in range(40))
+    mit = licenses.COMPLETE["MIT"][-1]
+    wrapped = textwrap.fill(mit, 78)
+    assert {x[3] for x in m.scan("The MIT License (MIT)\n\nCopyright (c) 2020 Some One\n\n" + wrapped)} == {"MIT"}
+    for name, texts in licenses.COMPLETE.items():
+        for t in texts[1:] or texts:
+            for body in (textwrap.fill(t, 60), " * " + textwrap.fill(t, 60).replace("\n", "\n * ")):
+                found = m.scan(f"{prose}\n{body}\n{prose}")
+                best = min(found, key=lambda x: (-x[2], x[3]))
+                assert best[3] == name and best[2] > 0.9, (name, found)
+    twice = m.scan(f"{wrapped}\n{prose}\n{wrapped}\n{prose}")
+    assert [x[3] for x in twice] == ["MIT", "MIT"] and twice[0][:2] == (0, len(wrapped))
+    assert m.scan(prose * 5) == []
+
+
 def test_ann_recall_and_invalid_vectors(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((3000, 32))
