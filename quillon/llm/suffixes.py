@@ -2,15 +2,20 @@
 
 Texts equal to an earlier document's are cut whole (they share every string) and leave the work. In the others, every
 window of WIDTH bytes has an anchor: the q-gram of least hash in it, so equal windows have equal anchors. Windows with
-one anchor occurrence lie side by side and form a span. Spans whose anchor occurs in one document only can't repeat.
-The rest meet by anchor; of equal spans one goes on, with the smallest doc_id that holds it. Their suffixes are sorted
-by bucket-pointer refinement: buckets of 8 bytes are refined by the buckets 8 bytes on, those of 16 by the ones 16 on,
-those of 32 by the ones 18 on, each pass on the identifiers the last one made, which gives the exact classes of equal
-50-byte strings and the first document of each.
+one anchor occurrence lie side by side and form a span. Occurrences meet by anchor, packed as arrays. Spans whose anchor
+occurs in one document only can't repeat; where all spans of an anchor are equal, the smallest doc_id has them first.
+Of the other anchors each distinct span is fetched once, and the suffixes of these spans are sorted by bucket-pointer
+refinement (see sorted_suffixes). Neighbours in that order that agree in WIDTH bytes are one string; its first holder is
+the smallest doc_id of their spans.
+
+Identity of a row is (doc_id, hash of its text): any number of texts can share a doc_id, and rows that agree in both get
+equal results. What a part of the texts is asked for or told travels to it as arrays, one row for each part and bucket of
+anchors, so rows in shuffles grow with neither. The occurrences of one anchor that is not part of whole copies meet in
+one task, at about 30 bytes each.
 
 Defined cases: null text is empty; texts of fewer than WIDTH bytes stay whole; strings within one document or one
-doc_id don't count; rows with a null doc_id stay whole and remove nothing; rows that agree in doc_id and text get equal
-results; an empty table gives an empty result; other columns are ignored.
+doc_id don't count; rows with a null doc_id stay whole and remove nothing; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,28 +24,35 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bytehash import between, mixed, prefix, slices
 from quillon.llm.common import drop_tables, join_sized, shared_table, spread
 
 WIDTH, GRAM = 50, 16
+REACH = WIDTH - GRAM
 #: Bytes of spans whose suffixes are sorted together (more if one anchor has more); bytes of texts, and of one text,
 #: scanned at once: a scan holds about 120 bytes for each of them.
 SORTED, SCAN, PART = 2 << 20, 1 << 19, 1 << 20
+#: Bytes of texts whose anchors are packed together, and for which there is one bucket of anchors and one part of texts.
+PACKED, BUCKET = 8 << 20, 4 << 20
+#: Slices of the suffixes that one pass of the refinement sorts one after the other.
+PASSES = 4
 #: Copies (40 bytes each) that may be broadcast to leave the work; more are joined by a shuffle.
 COPIES = 200_000
 
 
 def spans_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, first window, number of windows) of the spans of texts that lie one after the other."""
-    views = WIDTH - GRAM + 1
+    """(text, anchor hash, span hash, first window, number of windows, place of the anchor) of the spans of texts that lie
+    one after the other."""
+    views = REACH + 1
     n = len(raw) - GRAM + 1
     if n < views:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     at = np.arange(n)
-    gram = mixed(between(prefix(raw), at, at + GRAM))
+    sums = prefix(raw)
+    gram = mixed(between(sums, at, at + GRAM))
     key = gram & ~np.uint64((1 << 24) - 1) | at.astype(np.uint64)
     # sliding minimum over `views` grams by doubling
     width, low = 1, key
@@ -58,45 +70,96 @@ def spans_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new & inside)
     groups = np.cumsum(new & inside) - 1
     count = np.bincount(groups[inside], minlength=len(first))
-    return text[first], gram[anchor[first]].view(np.int64), first - offsets[text[first]], count
+    place = anchor[first] - first
+    whole = mixed(between(sums, first, first + count + WIDTH - 1) + count.astype(np.uint64) * np.uint64(131) + place.astype(np.uint64), 4)
+    return text[first], gram[anchor[first]], whole, first - offsets[text[first]], count, place
 
 
-def window_classes(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket-pointer refinement over the suffixes of spans: (span, offset, class) of each window of WIDTH bytes."""
-    raw = np.frombuffer(b"".join(spans), np.uint8)
-    sizes = np.array([len(s) for s in spans])
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    at = np.arange(len(raw))
-    left = ends - at
-    packed = np.zeros(len(raw), np.uint64)
+def _codes(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number in their order; raw ends in 8 zeros."""
+    out = np.zeros(len(raw) - 8, np.uint64)
     for k in range(8):
-        packed[: len(raw) - k] |= raw[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
-    bucket = np.full(len(raw), -1, np.int64)
-    pos = np.flatnonzero(left >= 8)
-    bucket[pos] = np.unique(packed[pos], return_inverse=True)[1]
-    for on, depth in ((8, 16), (16, 32), (18, WIDTH)):
-        pos = np.flatnonzero(left >= depth)
-        pair = bucket[pos] * np.int64(len(raw) + 1) + bucket[pos + on]
-        refined = np.full(len(raw), -1, np.int64)
-        refined[pos] = np.unique(pair, return_inverse=True)[1]
-        bucket = refined
-    span = np.repeat(np.arange(len(spans)), sizes)[pos]
-    return span, pos - (np.cumsum(sizes) - sizes)[span], bucket[pos]
-
-
-def first_holders(spans: list[bytes], docs: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """For each span, runs (offset, length, first document) of its windows."""
-    span, offset, cls = window_classes(spans)
-    least = np.full(cls.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, cls, docs[span])
-    first = least[cls]
-    new = np.ones(len(first), bool)
-    new[1:] = (first[1:] != first[:-1]) | (span[1:] != span[:-1])
+        out |= raw[k : len(raw) - 8 + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return out
+
+
+def sorted_suffixes(codes: np.ndarray, span: np.ndarray, docs: np.ndarray, depth: int = WIDTH) -> np.ndarray:
+    """Bucket-pointer refinement: the pointer of every suffix, the place where its bucket begins in the order of suffixes.
+
+    The first buckets hold suffixes that agree in 8 bytes. A bucket whose members agree in d bytes is sorted by the
+    pointers of the suffixes d bytes on, which splits it, and its members' pointers are set to the smaller buckets at
+    once: sorts that follow, of the same pass and of later ones, already compare by the finer pointers. Buckets of one
+    suffix or one document need no further sort. After a pass at d all others agree in at least 2 d bytes.
+
+    codes: of all places of spans that end in 8 zeros each; span: which span a place lies in; docs: first holder of each."""
+    n = len(codes)
+    order = np.argsort(codes, kind="stable")
+    new = np.append(True, codes[order][1:] != codes[order][:-1])
     begin = np.flatnonzero(new)
-    length = np.diff(np.append(begin, len(first)))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in spans]
-    for s, o, n, d in zip(span[begin].tolist(), offset[begin].tolist(), length.tolist(), first[begin].tolist(), strict=True):
-        out[s].append((o, n, d))
+    pointer = np.empty(n, np.int64)
+    pointer[order] = np.repeat(begin, np.diff(np.append(begin, n)))
+    last = np.searchsorted(span, span, "right") - 1  # beyond its end a span holds zeros only
+    d = 8
+    while d < depth:
+        doc = docs[span[order]]
+        bucket = pointer[order]
+        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        mixed_docs = np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge)
+        live = np.repeat(mixed_docs, np.diff(np.append(edge, len(order))))
+        order = order[live]
+        if not len(order):
+            break
+        bucket = pointer[order]
+        heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        stops = heads[np.searchsorted(heads, np.linspace(0, len(order), PASSES + 1)[1:-1].astype(int), "right") - 1]
+        for a, b in zip([0, *stops.tolist()], [*stops.tolist(), len(order)], strict=True):
+            if a == b:
+                continue
+            some = order[a:b]
+            own, later = pointer[some], pointer[np.minimum(some + d, last[some])]
+            place = np.lexsort((later, own))
+            some, own, later = some[place], own[place], later[place]
+            order[a:b] = some
+            fresh = np.append(True, (own[1:] != own[:-1]) | (later[1:] != later[:-1]))
+            head = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), np.arange(b - a), 0))
+            at = np.maximum.accumulate(np.where(fresh, np.arange(b - a), 0))
+            pointer[some] = own + at - head
+        d *= 2
+    return pointer
+
+
+def first_holders(spans: list[bytes], docs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first holder of each window: of the counts[i] windows of spans[i], one after the other."""
+    raw = np.frombuffer(b"".join(s + bytes(8) for s in spans) + bytes(8), np.uint8)
+    sizes = np.array([len(s) + 8 for s in spans])
+    begin = np.cumsum(sizes) - sizes
+    span = np.repeat(np.arange(len(spans)), sizes)
+    codes = _codes(raw)
+    pointer = sorted_suffixes(codes, span, docs)
+    of = np.repeat(np.arange(len(spans)), counts)
+    window = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + begin[of]
+    order = np.argsort(pointer[window], kind="stable")
+    p = window[order]
+    same = np.ones(len(p) - 1, bool)
+    for k in (*range(0, WIDTH - 8, 8), WIDTH - 8):
+        c = codes[p + k]
+        same &= c[1:] == c[:-1]
+    edge = np.flatnonzero(np.append(True, ~same))
+    least = np.minimum.reduceat(docs[of][order], edge)
+    out = np.empty(len(p), np.int64)
+    out[order] = np.repeat(least, np.diff(np.append(edge, len(p))))
+    return out
+
+
+def repeating(anchor: np.ndarray, spans: list[bytes], places: np.ndarray) -> np.ndarray:
+    """Spans that may share a window with another of their anchor: half of what a window has beside it must agree."""
+    half = REACH // 2
+    out = np.zeros(len(spans), bool)
+    for side in (0, 1):
+        key = np.array([hash((a, s[p + GRAM : p + GRAM + half] if side else s[max(0, p - half) : p])) for a, s, p in zip(anchor.tolist(), spans, places.tolist(), strict=True)], np.int64)
+        _, again, n = np.unique(key, return_inverse=True, return_counts=True)
+        long = np.array([len(s) - p - GRAM if side else p for s, p in zip(spans, places.tolist(), strict=True)]) >= half
+        out |= (n[again] > 1) & long
     return out
 
 
@@ -112,126 +175,286 @@ def _parts(raw: np.ndarray, offsets: np.ndarray):
             return
 
 
-def anchors(texts: DataFrame) -> DataFrame:
-    """texts(doc_id, variant, text) -> a (anchor), doc_id, place: variant, first window and number of windows in one number."""
+#: What is known of an occurrence: anchor, hash of its span, doc_id, key and part of its row, first window, number of
+#: windows, place of the anchor in the span.
+FIELDS = {"a": np.uint64, "s": np.uint64, "doc": np.int64, "key": np.int64, "part": np.int32, "lo": np.int64, "n": np.uint8, "p": np.uint8}
+PACK = "kind string, grp int, " + ", ".join(f"{f} binary" for f in FIELDS) + ", data binary"
+NAMES = ["kind", "grp", *FIELDS, "data"]
 
-    def run(batches):
-        for batch in batches:
-            ids, variants = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            for i, raw, offsets in slices(batch.column(2), SCAN):
-                for part, edges, shift in _parts(raw, offsets):
-                    text, a, lo, n = spans_of(part, edges)
-                    place = (variants[i + text] << 54) + (lo + shift << 6) + n  # an anchor lies in at most 35 windows
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[i + text]), pa.array(place)], ["a", "doc_id", "place"])
 
-    return texts.select("doc_id", "variant", "text").mapInArrow(run, "a long, doc_id long, place long")
+def _packed(kind: str, group: np.ndarray, fields: dict[str, np.ndarray], only: tuple[str, ...] = tuple(FIELDS)) -> list[tuple]:
+    """Rows of PACK: the occurrences of each group, as arrays of bytes."""
+    if not len(group):
+        return []
+    order = np.argsort(group, kind="stable")
+    edge = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+    held = {f: np.asarray(fields[f])[order].astype(FIELDS[f]) for f in only}
+    ends = [*edge[1:].tolist(), len(order)]
+    return [(kind, int(group[order[a]]), *(held[f][a:b].tobytes() if f in held else None for f in FIELDS), None) for a, b in zip(edge.tolist(), ends, strict=True)]
 
 
-def repeated(texts: DataFrame) -> DataFrame:
-    """texts(doc_id, variant, text), distinct -> (doc_id, variant, cut): byte ranges (from, to) to remove."""
-    found = anchors(spread(texts))
-    by = Window.partitionBy("a")
-    shared = found.withColumns({"lo_doc": F.min("doc_id").over(by), "hi_doc": F.max("doc_id").over(by)}).filter("lo_doc < hi_doc")
-    place = [F.shiftrightunsigned("place", 54).cast("int").alias("variant"), "a", F.expr("shiftright(place, 6) & (281474976710655)").alias("lo"), F.expr("place & 63").alias("n")]
-    shared = shared_table(shared.select("doc_id", *place), "shared-anchors", settle=True)
-    wanted = shared.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("a", "lo", "n")).alias("at"))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), *[pa.binary()] * (len(FIELDS) + 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
+
+
+def _grouped(batches):
+    """(group, rows) of rows of PACK that are sorted by group."""
+    group, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[1] != group and rows:
+                yield group, rows
+                rows = []
+            group = row[1]
+            rows.append(row)
+    if rows:
+        yield group, rows
+
+
+def _joined(rows: list[tuple]) -> dict[str, np.ndarray]:
+    return {f: np.concatenate([np.frombuffer(r[2 + k] or b"", t) for r in rows]) if rows else np.zeros(0, t) for k, (f, t) in enumerate(FIELDS.items())}
 
-    def extract(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                at = batch.column(3)[i].values
-                if not len(at):
-                    continue
-                a, lo, n = (at.field(k) for k in range(3))
-                data = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass")
-                spans = [data[x : x + y + WIDTH - 1] for x, y in zip(lo.to_pylist(), n.to_pylist(), strict=True)]
-                m = len(spans)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * m, pa.int64()), pa.array([batch.column(1)[i].as_py()] * m, pa.int32()), a, lo, pa.array(spans, pa.binary())], ["doc_id", "variant", "a", "lo", "span"])
-
-    held = texts.join(wanted, ["doc_id", "variant"]).select("doc_id", "variant", "text", "at")
-    held = shared_table(held.mapInArrow(extract, "doc_id long, variant int, a long, lo long, span binary"), "spans", settle=True)
-    drop_tables(texts.sparkSession, shared)
-
-    def refine(batches):
-        def out(group):
-            a, spans, docs = zip(*group, strict=True)
-            runs = first_holders(list(spans), np.array(docs))
-            flat = [r for rs in runs for r in rs]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in zip(*flat, strict=True)], ["o", "n", "first"])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(spans, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["a", "span", "runs"])
 
+def _segments(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins of the runs of equal keys, and the run of each."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def anchors(texts: DataFrame, buckets: int) -> DataFrame:
+    """texts(doc_id, key, part, text) -> rows of PACK: the occurrences by bucket of their anchors."""
+
+    def run(batches):
         waiting, size = [], 0
+
+        def out():
+            fields = {f: np.concatenate([w[f] for w in waiting]) for f in FIELDS}
+            rows = _packed("at", (fields["a"] % np.uint64(buckets)).astype(np.int32), fields)
+            waiting.clear()
+            return [_batch(rows)] if rows else []
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SORTED and row[0] != waiting[-1][0]:
-                    yield out(waiting)
-                    waiting, size = [], 0
-                waiting.append(row)
-                size += len(row[1])
+            ids, keys, parts = (batch.column(k).to_numpy() for k in range(3))
+            for i, raw, offsets in slices(batch.column(3), SCAN):
+                for part, edges, shift in _parts(raw, offsets):
+                    text, a, s, lo, n, p = spans_of(part, edges)
+                    waiting.append({"a": a, "s": s, "doc": ids[i + text], "key": keys[i + text], "part": parts[i + text], "lo": lo + shift, "n": n, "p": p})
+                size += len(raw)
+                if size >= PACKED:
+                    yield from out()
+                    size = 0
         if waiting:
-            yield out(waiting)
-
-    distinct = held.groupBy("a", "span").agg(F.min("doc_id").alias("doc_id"))
-    sorted_ = distinct.repartition("a").sortWithinPartitions("a").mapInArrow(refine, "a long, span binary, runs array<struct<o: long, n: long, first: long>>")
-    # Spans meet their runs again by 128 bits of hash beside the anchor: the bytes needn't travel twice.
-    name = [F.xxhash64("span").alias("s1"), F.xxhash64(F.lit(1), "span").alias("s2")]
-    sorted_ = shared_table(sorted_.select("a", *name, "runs"), "runs", settle=True)
-    places = held.select("doc_id", "variant", "lo", "a", *name)
-    cut = places.join(sorted_, ["a", "s1", "s2"]).select("doc_id", "variant", "lo", F.inline("runs")).filter("first < doc_id")
-    return cut.groupBy("doc_id", "variant").agg(F.collect_list(F.struct((F.col("lo") + F.col("o")).alias("a"), (F.col("lo") + F.col("o") + F.col("n") + WIDTH - 1).alias("b"))).alias("cut"))
-
-
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], b)
-        else:
-            out.append((a, b))
-    return out
+            yield from out()
 
+    return texts.select("doc_id", "key", "part", "text").mapInArrow(run, PACK)
 
-def cuts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id: long, text) -> a row per row: doc_id, text, spans (merged byte ranges to remove)."""
-    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = given.withColumns({"_th": F.xxhash64("text"), "_th2": F.xxhash64(F.lit(1), "text")})
-    keys = known.select("doc_id", F.col("_th").alias("th"), F.col("_th2").alias("th2"), F.octet_length("text").alias("size")).filter(f"size >= {WIDTH} and doc_id is not null").distinct()
-    firsts = keys.groupBy("th", "th2").agg(F.min("doc_id").alias("first"))
-    variant = F.row_number().over(Window.partitionBy("doc_id").orderBy("th", "th2")) - 1
-    keys = shared_table(keys.join(firsts, ["th", "th2"]).withColumn("variant", variant), "text-keys")
-    same = (F.col("_th") == F.col("th")) & (F.col("_th2") == F.col("th2")) & (F.col("doc_id") == F.col("_doc"))
-    # Copies leave; the few texts that share a doc_id with another are numbered.
-    odd = keys.filter("doc_id > first or variant > 0").select(F.col("doc_id").alias("_doc"), "th", "th2", "variant", "first")
-    alone = join_sized(known.filter(f"octet_length(text) >= {WIDTH} and doc_id is not null"), odd, same, "left", COPIES)
-    alone = alone.filter("first is null or doc_id = first").select("doc_id", F.coalesce("variant", F.lit(0)).alias("variant"), "text")
-    found = repeated(alone)
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b")))
-    to_cut = keys.join(found, ["doc_id", "variant"], "left").withColumn("cut", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("cut")))
-    to_cut = shared_table(to_cut.filter("cut is not null").select(F.col("doc_id").alias("_doc"), "th", "th2", "cut"), "cuts", settle=True)
-    return known.join(to_cut, same, "left").select("doc_id", "text", "cut")
+
+def _settled(buckets: int):
+    """Occurrences of a bucket -> cuts of what is settled, spans to ask for, and the occurrences that wait for them."""
+
+    def run(batches):
+        for bucket, rows in _grouped(batches):
+            x = _joined(rows)
+            order = np.lexsort((x["doc"], x["s"], x["a"]))
+            x = {f: v[order] for f, v in x.items()}
+            edge, of = _segments(x["a"])
+            shared = (np.minimum.reduceat(x["doc"], edge) < np.maximum.reduceat(x["doc"], edge))[of]
+            x = {f: v[shared] for f, v in x.items()}
+            if not len(x["a"]):
+                continue
+            anchor, of_anchor = _segments(x["a"])
+            span, of_span = _segments(x["a"], x["s"])
+            several = (np.bincount(of_anchor[span]) > 1)[of_anchor]
+            later = ~several & (x["doc"] > x["doc"][span][of_span])
+            out = _packed("cut", x["part"][later], {f: v[later] for f, v in x.items()} | {"n": x["n"][later]}, ("key", "lo", "n"))
+            ask = span[several[span]]
+            out += _packed("ask", x["part"][ask], {f: v[ask] for f, v in x.items()})
+            wait = np.flatnonzero(several)
+            out += _packed("at", np.full(len(wait), bucket), {f: v[wait] for f, v in x.items()}, ("a", "s", "doc", "key", "part", "lo"))
+            if out:
+                yield _batch(out)
+
+    return run
+
+
+def _fetched(buckets: int):
+    """Rows of PACK that ask a part, then the part's texts (key, data) -> rows of PACK with the spans, by bucket."""
+
+    def run(batches):
+        for _, rows in _grouped(batches):
+            x = _joined([r for r in rows if r[0] == "ask"])
+            order = np.argsort(x["key"], kind="stable")
+            x = {f: v[order] for f, v in x.items()}
+            found, data = [], []
+            for r in rows:
+                if r[0] != "text":
+                    continue
+                key = _number(r[2 + list(FIELDS).index("key")])
+                a, b = np.searchsorted(x["key"], key), np.searchsorted(x["key"], key, "right")
+                found.append(np.arange(a, b))
+                data += [r[-1][lo : lo + n + WIDTH - 1] for lo, n in zip(x["lo"][a:b].tolist(), x["n"][a:b].tolist(), strict=True)]
+            if not data:
+                continue
+            at = np.concatenate(found)
+            group = (x["a"][at] % np.uint64(buckets)).astype(np.int32)
+            place = np.argsort(group, kind="stable")
+            edge, _ = _segments(group[place])
+            out = []
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(place)], strict=True):
+                mine = place[a:b]
+                held = {f: x[f][at[mine]] for f in ("a", "s", "doc", "n", "p")}
+                out.append(("span", int(group[mine[0]]), *(held[f].tobytes() if f in held else None for f in FIELDS), b"".join([data[k] for k in mine.tolist()])))
+            yield _batch(out)
+
+    return run
+
+
+def _refined(batches):
+    """Waiting occurrences and the spans they have -> rows of PACK: cuts for the parts."""
+    for _, rows in _grouped(batches):
+        wait, x = _joined([r for r in rows if r[0] == "at"]), _joined([r for r in rows if r[0] == "span"])
+        if not len(x["a"]):
+            continue
+        sizes = x["n"].astype(np.int64) + WIDTH - 1
+        data = b"".join([r[-1] for r in rows if r[0] == "span"])
+        begin = np.cumsum(sizes) - sizes
+        order = np.lexsort((x["s"], x["a"]))
+        x = {f: v[order] for f, v in x.items() if len(v)}
+        begin, sizes = begin[order], sizes[order]
+        spans = [data[i : i + k] for i, k in zip(begin.tolist(), sizes.tolist(), strict=True)]
+        counts = x["n"].astype(np.int64)
+        head = np.cumsum(counts) - counts
+        first = np.repeat(x["doc"], counts)  # of each window
+        keep = np.flatnonzero(repeating(x["a"], spans, x["p"]))
+        size = np.cumsum(sizes[keep])
+        edge, _ = _segments(x["a"][keep]) if len(keep) else (np.zeros(0, np.int64), None)
+        stops, at = [0], 0
+        for e in edge[1:].tolist():
+            if size[e - 1] - at >= SORTED:
+                stops.append(e)
+                at = size[e - 1]
+        for a, b in zip(stops, [*stops[1:], len(keep)], strict=True):
+            some = keep[a:b]
+            if len(some):
+                found = first_holders([spans[k] for k in some.tolist()], x["doc"][some], counts[some])
+                into = np.repeat(head[some] - np.cumsum(counts[some]) + counts[some], counts[some]) + np.arange(len(found))
+                first[into] = found
+        # runs of windows of a span with one first holder
+        of = np.repeat(np.arange(len(spans)), counts)
+        run, _ = _segments(of, first)
+        run_of, run_at, run_n = of[run], run - head[of[run]], np.diff(np.append(run, len(first)))
+        run_head, n_runs = np.searchsorted(run_of, np.arange(len(spans))), np.bincount(run_of, minlength=len(spans))
+        # every waiting occurrence takes the runs of its span that an earlier document holds
+        order = np.lexsort((wait["s"], wait["a"]))
+        wait = {f: v[order] for f, v in wait.items() if len(v)}
+        _, which = _segments(wait["a"], wait["s"])
+        n = n_runs[which]
+        one = np.repeat(np.arange(len(which)), n)
+        r = np.repeat(run_head[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cut = first[run[r]] < wait["doc"][one]
+        one, r = one[cut], r[cut]
+        out = _packed("cut", wait["part"][one], {"key": wait["key"][one], "lo": wait["lo"][one] + run_at[r], "n": run_n[r]}, ("key", "lo", "n"))
+        if out:
+            yield _batch(out)
+
+
+def _bytes(number: Column) -> Column:
+    """A long as 8 bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(number), 16, "0"))
+
+
+def _number(data: bytes) -> int:
+    return int.from_bytes(data, "big", signed=True)
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartition(n, "grp").sortWithinPartitions("grp", "kind")
+
+
+def _as_rows(texts: DataFrame, kind: str) -> DataFrame:
+    """texts(key: binary, part, text) as rows of PACK."""
+    none = F.lit(None).cast("binary")
+    fields = [F.col("key_bytes").alias("key") if f == "key" else none.alias(f) for f in FIELDS]
+    return texts.select(F.lit(kind).alias("kind"), F.col("part").alias("grp"), *fields, F.col("text").cast("binary").alias("data"))
+
+
+def cut_rows(texts: DataFrame, parts: int) -> DataFrame:
+    """texts(doc_id, key, key_bytes, part, text), each document once -> rows of PACK: key, lo, n (windows) to cut, by part."""
+    found = _dealt(anchors(spread(texts), parts), parts).mapInArrow(_settled(parts), PACK)
+    found = shared_table(found, "anchors")
+    asked = found.filter("kind = 'ask'")
+    held = asked.select("grp").distinct().withColumnRenamed("grp", "part")
+    wanted = join_sized(texts, held, ["part"], "left_semi")
+    spans = _dealt(asked.union(_as_rows(wanted, "text")), parts).mapInArrow(_fetched(parts), PACK)
+    both = found.filter("kind = 'at'").union(spans)
+    more = shared_table(_dealt(both, parts).mapInArrow(_refined, PACK), "cuts")
+    return found.filter("kind = 'cut'").union(more)
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """The union of the ranges [a, b)."""
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    new = np.append(True, a[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)
+    return a[new].tolist(), reach[last].tolist()
 
 
 def dedup(docs: DataFrame, kept: bool = False) -> DataFrame:
-    """The digest of what is left of each row; with kept, the bytes too."""
+    """docs(doc_id: long, text) -> the digest of what is left of each row; with kept, the bytes too."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    given = given.withColumns({"th": F.xxhash64("text"), "th2": F.xxhash64(F.lit(1), "text")})
+    keys = given.select("doc_id", "th", "th2", F.octet_length("text").alias("size")).filter(f"size >= {WIDTH} and doc_id is not null")
+    keys = shared_table(keys.groupBy("th", "th2", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "text-keys")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    parts = 1 + int(total) // BUCKET
+    key = F.xxhash64("doc_id", "th", "th2")
+    given = given.withColumns({"key": key, "part": F.pmod(key, F.lit(parts)).cast("int"), "key_bytes": _bytes(key)})
+    # Of equal texts the first document's goes on; the others, and rows that repeat it, follow it.
+    odd = keys.filter("n > 1").drop("n")
+    copies = join_sized(given, odd, ["th", "th2"], "left", COPIES).withColumn("whole", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    alone = copies.filter(f"not whole and doc_id is not null and octet_length(text) >= {WIDTH}")
+    once = alone.filter("first is null").unionByName(alone.filter("first is not null").dropDuplicates(["key"]))
+    cuts = cut_rows(once.select("doc_id", "key", "key_bytes", "part", "text"), parts)
+
+    none = F.lit(None).cast("binary")
+    fields = [F.col("key_bytes").alias("key") if f == "key" else F.when(F.col("whole"), F.lit(b"\1")).alias(f) if f == "n" else F.when(F.col("doc_id").isNotNull(), _bytes(F.col("doc_id"))).alias(f) if f == "doc" else none.alias(f) for f in FIELDS]
+    rows = copies.select(F.lit("text").alias("kind"), F.col("part").alias("grp"), *fields, F.col("text").cast("binary").alias("data"))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 6 if kept else 5]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)]
+    where = {f: 2 + k for k, f in enumerate(FIELDS)}
 
     def run(batches):
+        group, waiting, x = None, [], None
         for batch in batches:
-            rows = []
-            for text, cut in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                spans = merged([(c["a"], c["b"]) for c in cut or ()])
+            done = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[1] != group:
+                    group, waiting, x = row[1], [], None
+                if row[0] == "cut":
+                    waiting.append(row)
+                    continue
+                if x is None:
+                    x = _joined(waiting)
+                    order = np.argsort(x["key"], kind="stable")
+                    x, waiting = {f: x[f][order] for f in ("key", "lo", "n")}, []
+                data = row[-1]
+                own = _number(row[where["key"]])
+                a, b = np.searchsorted(x["key"], own), np.searchsorted(x["key"], own, "right")
+                begins, ends = ([0], [len(data)]) if row[where["n"]] else merged(x["lo"][a:b], x["lo"][a:b] + x["n"][a:b] + (WIDTH - 1)) if b > a and row[where["doc"]] else ([], [])
                 left, at = [], 0
-                for a, b in spans:
-                    left.append(data[at:a])
-                    at = b
+                for i, j in zip(begins, ends, strict=True):
+                    left.append(data[at:i])
+                    at = j
                 left = b"".join([*left, data[at:]])
-                rows.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if kept else 4]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if kept else 5])
+                doc = _number(row[where["doc"]]) if row[where["doc"]] else None
+                done.append((doc, len(data), len(data) - len(left), len(begins), hashlib.sha256(left).hexdigest(), left))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=False)], names)
 
-    return cuts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
+    return _dealt(cuts.union(rows), parts).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
