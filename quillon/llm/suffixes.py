@@ -175,9 +175,9 @@ def _parts(raw: np.ndarray, offsets: np.ndarray):
             return
 
 
-#: What is known of an occurrence: anchor, hash of its span, doc_id, key and part of its row, first window, number of
-#: windows, place of the anchor in the span.
-FIELDS = {"a": np.uint64, "s": np.uint64, "doc": np.int64, "key": np.int64, "part": np.int32, "lo": np.int64, "n": np.uint8, "p": np.uint8}
+#: What is known of an occurrence: anchor, hash of its span, doc_id and key of its row, first window, number of windows,
+#: place of the anchor in the span. A row's part is the remainder of its key.
+FIELDS = {"a": np.uint64, "s": np.uint64, "doc": np.int64, "key": np.int64, "lo": np.uint32, "n": np.uint8, "p": np.uint8}
 PACK = "kind string, grp int, " + ", ".join(f"{f} binary" for f in FIELDS) + ", data binary"
 NAMES = ["kind", "grp", *FIELDS, "data"]
 
@@ -212,6 +212,15 @@ def _grouped(batches):
         yield group, rows
 
 
+def _sorted(x: dict[str, np.ndarray], *keys: str) -> dict[str, np.ndarray]:
+    """x in the order of keys, the first one first; arrays of x are let go one by one."""
+    order = np.lexsort([x[k] for k in reversed(keys)])
+    for f in x:
+        if len(x[f]):
+            x[f] = x[f][order]
+    return x
+
+
 def _joined(rows: list[tuple]) -> dict[str, np.ndarray]:
     return {f: np.concatenate([np.frombuffer(r[2 + k] or b"", t) for r in rows]) if rows else np.zeros(0, t) for k, (f, t) in enumerate(FIELDS.items())}
 
@@ -224,23 +233,23 @@ def _segments(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(texts: DataFrame, buckets: int) -> DataFrame:
-    """texts(doc_id, key, part, text) -> rows of PACK: the occurrences by bucket of their anchors."""
+    """texts(doc_id, key, text) -> rows of PACK: the occurrences by bucket of their anchors."""
 
     def run(batches):
         waiting, size = [], 0
 
         def out():
-            fields = {f: np.concatenate([w[f] for w in waiting]) for f in FIELDS}
+            fields = {f: np.concatenate([w.pop(f) for w in waiting]) for f in FIELDS}
             rows = _packed("at", (fields["a"] % np.uint64(buckets)).astype(np.int32), fields)
             waiting.clear()
             return [_batch(rows)] if rows else []
 
         for batch in batches:
-            ids, keys, parts = (batch.column(k).to_numpy() for k in range(3))
-            for i, raw, offsets in slices(batch.column(3), SCAN):
+            ids, keys = (batch.column(k).to_numpy() for k in range(2))
+            for i, raw, offsets in slices(batch.column(2), SCAN):
                 for part, edges, shift in _parts(raw, offsets):
                     text, a, s, lo, n, p = spans_of(part, edges)
-                    waiting.append({"a": a, "s": s, "doc": ids[i + text], "key": keys[i + text], "part": parts[i + text], "lo": lo + shift, "n": n, "p": p})
+                    waiting.append({"a": a, "s": s, "doc": ids[i + text], "key": keys[i + text], "lo": (lo + shift).astype(np.uint32), "n": n.astype(np.uint8), "p": p.astype(np.uint8)})
                 size += len(raw)
                 if size >= PACKED:
                     yield from out()
@@ -248,7 +257,7 @@ def anchors(texts: DataFrame, buckets: int) -> DataFrame:
         if waiting:
             yield from out()
 
-    return texts.select("doc_id", "key", "part", "text").mapInArrow(run, PACK)
+    return texts.select("doc_id", "key", "text").mapInArrow(run, PACK)
 
 
 def _settled(buckets: int):
@@ -257,8 +266,8 @@ def _settled(buckets: int):
     def run(batches):
         for bucket, rows in _grouped(batches):
             x = _joined(rows)
-            order = np.lexsort((x["doc"], x["s"], x["a"]))
-            x = {f: v[order] for f, v in x.items()}
+            rows.clear()
+            x = _sorted(x, "a", "s", "doc")
             edge, of = _segments(x["a"])
             shared = (np.minimum.reduceat(x["doc"], edge) < np.maximum.reduceat(x["doc"], edge))[of]
             x = {f: v[shared] for f, v in x.items()}
@@ -268,11 +277,11 @@ def _settled(buckets: int):
             span, of_span = _segments(x["a"], x["s"])
             several = (np.bincount(of_anchor[span]) > 1)[of_anchor]
             later = ~several & (x["doc"] > x["doc"][span][of_span])
-            out = _packed("cut", x["part"][later], {f: v[later] for f, v in x.items()} | {"n": x["n"][later]}, ("key", "lo", "n"))
+            out = _packed("cut", x["key"][later] % buckets, {f: v[later] for f, v in x.items()}, ("key", "lo", "n"))
             ask = span[several[span]]
-            out += _packed("ask", x["part"][ask], {f: v[ask] for f, v in x.items()})
+            out += _packed("ask", x["key"][ask] % buckets, {f: v[ask] for f, v in x.items()})
             wait = np.flatnonzero(several)
-            out += _packed("at", np.full(len(wait), bucket), {f: v[wait] for f, v in x.items()}, ("a", "s", "doc", "key", "part", "lo"))
+            out += _packed("at", np.full(len(wait), bucket), {f: v[wait] for f, v in x.items()}, ("a", "s", "doc", "key", "lo"))
             if out:
                 yield _batch(out)
 
@@ -284,9 +293,7 @@ def _fetched(buckets: int):
 
     def run(batches):
         for _, rows in _grouped(batches):
-            x = _joined([r for r in rows if r[0] == "ask"])
-            order = np.argsort(x["key"], kind="stable")
-            x = {f: v[order] for f, v in x.items()}
+            x = _sorted(_joined([r for r in rows if r[0] == "ask"]), "key")
             found, data = [], []
             for r in rows:
                 if r[0] != "text":
@@ -311,7 +318,7 @@ def _fetched(buckets: int):
     return run
 
 
-def _refined(batches):
+def _refined(batches, parts: int):
     """Waiting occurrences and the spans they have -> rows of PACK: cuts for the parts."""
     for _, rows in _grouped(batches):
         wait, x = _joined([r for r in rows if r[0] == "at"]), _joined([r for r in rows if r[0] == "span"])
@@ -319,6 +326,7 @@ def _refined(batches):
             continue
         sizes = x["n"].astype(np.int64) + WIDTH - 1
         data = b"".join([r[-1] for r in rows if r[0] == "span"])
+        rows.clear()
         begin = np.cumsum(sizes) - sizes
         order = np.lexsort((x["s"], x["a"]))
         x = {f: v[order] for f, v in x.items() if len(v)}
@@ -347,15 +355,14 @@ def _refined(batches):
         run_of, run_at, run_n = of[run], run - head[of[run]], np.diff(np.append(run, len(first)))
         run_head, n_runs = np.searchsorted(run_of, np.arange(len(spans))), np.bincount(run_of, minlength=len(spans))
         # every waiting occurrence takes the runs of its span that an earlier document holds
-        order = np.lexsort((wait["s"], wait["a"]))
-        wait = {f: v[order] for f, v in wait.items() if len(v)}
+        wait = _sorted(wait, "a", "s")
         _, which = _segments(wait["a"], wait["s"])
         n = n_runs[which]
         one = np.repeat(np.arange(len(which)), n)
         r = np.repeat(run_head[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
         cut = first[run[r]] < wait["doc"][one]
         one, r = one[cut], r[cut]
-        out = _packed("cut", wait["part"][one], {"key": wait["key"][one], "lo": wait["lo"][one] + run_at[r], "n": run_n[r]}, ("key", "lo", "n"))
+        out = _packed("cut", wait["key"][one] % parts, {"key": wait["key"][one], "lo": wait["lo"][one] + run_at[r], "n": run_n[r]}, ("key", "lo", "n"))
         if out:
             yield _batch(out)
 
@@ -389,10 +396,16 @@ def cut_rows(texts: DataFrame, parts: int) -> DataFrame:
     wanted = join_sized(texts, held, ["part"], "left_semi")
     spans = _dealt(asked.union(_as_rows(wanted, "text")), parts).mapInArrow(_fetched(parts), PACK)
     both = found.filter("kind = 'at'").union(spans)
-    more = shared_table(_dealt(both, parts).mapInArrow(_refined, PACK), "cuts")
+    more = shared_table(_dealt(both, parts).mapInArrow(lambda batches: _refined(batches, parts), PACK), "cuts")
     return found.filter("kind = 'cut'").union(more)
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that n windows from lo on cover."""
+    lo = lo.astype(np.int64)
+    return lo, lo + n + (WIDTH - 1)
+
+
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     """The union of the ranges [a, b)."""
     order = np.argsort(a, kind="stable")
@@ -443,7 +456,7 @@ def dedup(docs: DataFrame, kept: bool = False) -> DataFrame:
                 data = row[-1]
                 own = _number(row[where["key"]])
                 a, b = np.searchsorted(x["key"], own), np.searchsorted(x["key"], own, "right")
-                begins, ends = ([0], [len(data)]) if row[where["n"]] else merged(x["lo"][a:b], x["lo"][a:b] + x["n"][a:b] + (WIDTH - 1)) if b > a and row[where["doc"]] else ([], [])
+                begins, ends = ([0], [len(data)]) if row[where["n"]] else merged(*_ranges(x["lo"][a:b], x["n"][a:b])) if b > a and row[where["doc"]] else ([], [])
                 left, at = [], 0
                 for i, j in zip(begins, ends, strict=True):
                     left.append(data[at:i])
