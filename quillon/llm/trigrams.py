@@ -6,7 +6,7 @@ from itertools import product
 from re import _constants as C
 from re import _parser as P
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Sets of strings that grow beyond this are cut; what was known so far becomes a condition.
@@ -94,19 +94,56 @@ def named(query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(named, query[1]))
 
 
-def postings(docs: DataFrame, names: list[str]) -> DataFrame:
-    """docs(key columns..., text) -> a row for each named trigram that a text holds: the inverted index of those lists."""
-    low = docs.withColumn("_low", F.lower("text"))
-    held = F.array_compact(F.array(*(F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in names)))
-    return low.withColumn("trigram", F.explode(held)).drop("_low", "text")
-
+def clauses(query, most: int = MOST) -> list[frozenset[str]]:
+    """query as sets of trigrams of which a text must hold one whole set; [] if nothing is known.
 
-def holds(query, held: str) -> Column:
-    """query over a column that holds the set of a document's posted trigrams."""
+    Where the sets would be too many, a part of an "and" is left out: more texts are candidates, none is lost."""
+    if query is True:
+        return []
     if isinstance(query, str):
-        return F.array_contains(held, query)
-    parts = [holds(x, held) for x in query[1]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if query[0] == "and" else out | p
-    return out
+        return [frozenset([query])]
+    parts = [clauses(x, most) for x in query[1]]
+    if query[0] == "or":
+        out = {c for p in parts for c in p} if all(parts) else set()
+    else:
+        out = set()
+        for p in sorted(filter(None, parts), key=len):
+            more = {a | b for a in out for b in p} if out else set(p)
+            out = more if len(more) <= most else out
+    return sorted((c for c in out if not any(o < c for o in out)), key=sorted)
+
+
+def finder(names: list[str]) -> str:
+    """A regex that matches, with no width, wherever one of the trigrams begins; group 1 is the trigram."""
+    tails: dict[str, list[str]] = {}
+    for t in sorted(names):
+        tails.setdefault(t[0], []).append(t[1:])
+    quoted = lambda x: "".join("\\" + ch if not ch.isalnum() else ch for ch in x)
+    return "(?=(" + "|".join(f"{quoted(a)}(?:{'|'.join(map(quoted, b))})" for a, b in tails.items()) + "))"
+
+
+def postings(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs(key columns..., text) -> the inverted index: a row (trigram, key columns...) for each named trigram that a text
+    holds, found in one pass over the text; sorted by trigram, so that lists are read by their row groups."""
+    keys = [c for c in docs.columns if c != "text"]
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(finder(names)), F.lit(1)))
+    return docs.select(F.explode(held).alias("trigram"), *keys).sortWithinPartitions("trigram")
+
+
+def intersected(index: DataFrame, queries: dict[str, object], keys: list[str]) -> DataFrame:
+    """index(trigram, keys...) -> (keys..., rule) for each rule whose query the posting lists fulfil.
+
+    The lists that a set of trigrams names are read by a join on the trigram and intersected by the bits of its trigrams
+    that a document was met under."""
+    terms = []
+    for rule, query in sorted(queries.items()):
+        for n, clause in enumerate(clauses(query)):
+            for k in range(0, len(clause), 60):  # a longer clause: each piece is a condition of its own
+                piece = sorted(clause)[k : k + 60]
+                terms += [(rule, n, k // 60, 1 + (len(clause) - 1) // 60, t, 1 << b, (1 << len(piece)) - 1) for b, t in enumerate(piece)]
+    spark = index.sparkSession
+    # at most a few hundred rows: what the rules name
+    named_ = spark.createDataFrame(terms, "rule string, clause int, piece int, pieces int, trigram string, bit long, full long")
+    met = index.join(F.broadcast(named_), "trigram").groupBy(*keys, "rule", "clause", "piece", "pieces", "full").agg(F.bit_or("bit").alias("bits"))
+    whole = met.filter("bits = full").groupBy(*keys, "rule", "clause", "pieces").agg(F.count("*").alias("n")).filter("n = pieces")
+    return whole.select(*keys, "rule").distinct()
