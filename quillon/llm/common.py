@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,49 +12,59 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 _written: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset in local mode (tests), a new
+    one is set; a cluster has to name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def shared_table(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
+def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back. Cuts lineage: a lost executor costs a re-read, not a re-run.
 
-    Shuffle files of the finished job are let go, so that two steps' files are not on disk together; settle: after a
-    large one, wait until Spark no longer holds the job and its cleaner has run."""
+    Spark is asked to drop the job's shuffle files when it ends, so that two steps' files are not on disk together."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append(path)
-    gc.collect()
-    for _ in range(2 * settle):
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that shared_table wrote; call it once the results that read them are stored."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    _written.remove(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _held(tables: tuple[DataFrame, ...]) -> list[str]:
+    found = [f for t in tables for f in t.inputFiles()[:1]]
+    return [p for p in _written if any(p.rpartition("/")[2] in f for f in found)]
+
+
+def release(spark: SparkSession, *kept: DataFrame) -> None:
+    """Delete the tables that shared_table wrote but those kept; call it once the results that read them are stored."""
+    for path in set(_written) - set(_held(kept)):
+        _delete(spark, path)
 
 
 def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables of shared_table that no later step reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p in _written if any(f"{p}/" in f for t in tables for f in t.inputFiles()[:1])]:
-        _written.remove(path)
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+    for path in _held(tables):
+        _delete(spark, path)
 
 
 def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
@@ -65,6 +73,14 @@ def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", most: i
     return big.join(F.broadcast(small) if n <= most else small, on, how)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows evenly when the input has fewer partitions than there are cores; results don't depend on it."""
     cores = df.sparkSession.sparkContext.defaultParallelism

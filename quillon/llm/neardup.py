@@ -1,12 +1,12 @@
 """Near duplicates by ProbMinHash over word shingles.
 
-Every shingle of a text starts a Poisson process of arrivals with its weight as rate; each arrival falls on a random
-place of the signature, which keeps its earliest. A process ends when its next arrival is later than all places' kept
-ones. Two signatures agree in a place with the probability Jaccard similarity of the weighted sets. With equal weights,
-the default, that is their Jaccard similarity, which the threshold of 0.8 is stated for; weights="count" takes numbers
-of occurrences instead.
+Every shingle of a text starts a Poisson process of arrivals with its weight as rate, the number of its occurrences;
+each arrival falls on a random place of the signature, which keeps its earliest. A process ends when its next arrival is
+later than all places' kept ones. Two signatures agree in a place with the probability Jaccard similarity of the weighted
+sets, which doesn't depend on the scale of the weights and is the Jaccard similarity where all are equal.
+weights="distinct" makes all equal.
 
-Texts of equal shingle sets are one node. Nodes that agree in a band form a bucket. Each is first verified, on its
+Texts of equal weighted sets are one node. Nodes that agree in a band form a bucket. Each is first verified, on its
 shingles, against one leader of its bucket: rows grow with the bucket, not its square. Where verified links leave a
 bucket in several components, its members are compared across components, signature against signature, in blocks of
 bounded size; pairs whose estimate leaves 0.8 possible are verified there, and only links that join components leave
@@ -32,8 +32,8 @@ from quillon.llm.components import components
 K, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
-#: Members of a bucket compared at once, and their shingles; estimates under this can't be 0.8 but for one pair in ten thousand.
-BLOCK, BLOCK_ITEMS, ESTIMATE = 1024, 2_000_000, 0.68
+#: Members of a bucket compared at once, and their shingles; a pair at 0.8 has an estimate under this once in a billion.
+BLOCK, BLOCK_ITEMS, ESTIMATE = 1024, 2_000_000, 0.6
 _MARK = np.uint64((1 << 24) - 1)
 
 
@@ -66,9 +66,10 @@ def signature(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int,
 
 def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """The sum over shared items i of 1 / sum over j of max(wa[j] / wa[i], wb[j] / wb[i])."""
+    if (wa == wa[:1]).all() and (wb == wb[:1]).all():
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both / (len(a) + len(b) - both) if both or len(a) + len(b) else 1.0
     items = np.union1d(a, b)
-    if not len(items):
-        return 1.0
     x, y = np.zeros(len(items)), np.zeros(len(items))
     x[np.searchsorted(items, a)], y[np.searchsorted(items, b)] = wa, wb
     with np.errstate(divide="ignore"):
@@ -82,8 +83,8 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float(np.sum(1 / (more[at[both]] / x[both] + less[at[both]] / y[both])))
 
 
-def signatures(docs: DataFrame, k: int = K, weights: str = "distinct") -> DataFrame:
-    """docs(doc_id, text) -> doc_id, th, node and node2 (hashes of the shingle set), n (its size), bands, sig."""
+def signatures(docs: DataFrame, k: int = K, weights: str = "count") -> DataFrame:
+    """docs(doc_id, text) -> doc_id, th, node and node2 (hashes of the weighted set), n (its size), unit (all weights are 1), bands, sig."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -108,15 +109,16 @@ def signatures(docs: DataFrame, k: int = K, weights: str = "distinct") -> DataFr
                 bands = np.zeros((n, BANDS), np.uint64)
                 for row in range(ROWS):
                     bands = mixed(bands + cells.reshape(n, BANDS, ROWS)[:, :, row], row)
-                done.append((*nodes, sizes, bands, (cells >> np.uint64(32)).astype(np.uint8)))
+                heavy = np.bincount(owner[rates != 1], minlength=n) > 0
+                done.append((*nodes, sizes, ~heavy, bands, (cells >> np.uint64(32)).astype(np.uint8)))
             if not done:
                 continue
-            a, b, sizes, bands, cells = (np.concatenate(x) for x in zip(*done, strict=True))
+            a, b, sizes, unit, bands, cells = (np.concatenate(x) for x in zip(*done, strict=True))
             lists = pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * BANDS, pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sizes.astype(np.int64)), lists, pa.array([c.tobytes() for c in cells], pa.binary())], ["doc_id", "th", "node", "node2", "n", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(unit), lists, pa.array([c.tobytes() for c in cells], pa.binary())], ["doc_id", "th", "node", "node2", "n", "unit", "bands", "sig"])
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    return spread(texts).mapInArrow(run, f"doc_id {kind}, th long, node long, node2 long, n long, bands array<long>, sig binary")
+    return spread(texts).mapInArrow(run, f"doc_id {kind}, th long, node long, node2 long, n long, unit boolean, bands array<long>, sig binary")
 
 
 def node_texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def shingle_sets(texts: DataFrame, k: int, weights: str) -> DataFrame:
                 for a, b in zip(edge, edge[1:], strict=False):
                     found, rate = weighted(hashes[a:b], weights)
                     items.append(found.tobytes())
-                    rates.append(rate.tobytes() if weights == "count" else b"")
+                    rates.append(b"" if (rate == 1).all() else rate.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary()), pa.array(rates, pa.binary())], ["node", "items", "rates"])
 
     return texts.mapInArrow(run, "node long, items binary, rates binary")
@@ -147,7 +149,7 @@ def shingle_sets(texts: DataFrame, k: int, weights: str) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, least: float, weights: str) -> DataFrame:
     """The pairs(u, v) of nodes whose shingle sets are similar enough."""
     wanted = pairs.select("u").union(pairs.select(F.col("v"))).distinct().withColumnRenamed("u", "node")
-    texts = shared_table(node_texts(wanted, docs, nodes), "pair-texts", settle=True)
+    texts = shared_table(node_texts(wanted, docs, nodes), "pair-texts")
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
 
     def run(batches):
@@ -183,10 +185,9 @@ def _compare(least: float):
         rates = [np.frombuffer(x, np.float64) for x in table["rates"].to_pylist()]
 
         def similarity(a: int, b: int) -> float:
-            if len(rates[a]):
-                return probability_jaccard(items[a], rates[a], items[b], rates[b])
-            both = len(np.intersect1d(items[a], items[b], assume_unique=True))
-            return both / (len(items[a]) + len(items[b]) - both)
+            return probability_jaccard(items[a], rates[a] if len(rates[a]) else np.ones(len(items[a])), items[b], rates[b] if len(rates[b]) else np.ones(len(items[b])))
+
+        unit = np.array([not len(r) for r in rates])
 
         rows, cols = np.flatnonzero(sub == bi), np.flatnonzero(sub == bj)
         us, vs = [], []
@@ -196,7 +197,8 @@ def _compare(least: float):
             first = (bands[i][:, None, :] == bands[cols][None, :, :]).argmax(-1)
             estimate = (sig[i][:, None, :] == sig[cols][None, :, :]).mean(-1)
             likely = (estimate >= ESTIMATE * least / LEAST) & (first == band) & (group[i][:, None] != group[cols][None, :])
-            likely &= np.minimum(n[i][:, None], n[cols]) >= least * np.maximum(n[i][:, None], n[cols])
+            # sizes bound the similarity of sets without weights only
+            likely &= (np.minimum(n[i][:, None], n[cols]) >= least * np.maximum(n[i][:, None], n[cols])) | ~(unit[i][:, None] & unit[cols])
             if bi == bj:
                 likely &= node[i][:, None] > node[cols][None, :]
             x, y = np.nonzero(likely)
@@ -211,17 +213,17 @@ def _compare(least: float):
     return run
 
 
-def classes(docs: DataFrame, k: int = K, least: float = LEAST, weights: str = "distinct") -> DataFrame:
+def classes(docs: DataFrame, k: int = K, least: float = LEAST, weights: str = "count") -> DataFrame:
     """docs(doc_id, text) -> a row for each row: doc_id, th (hash of its text), root (key of its class), class_id, n_shingles."""
     docs = docs.select("doc_id", "text")
     signed = shared_table(signatures(docs, k, weights), "signatures")
-    least_doc = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n", "bands", "sig")).alias("r")
+    least_doc = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n", "unit", "bands", "sig")).alias("r")
     nodes = shared_table(signed.groupBy("node", "node2").agg(least_doc).select("node", "node2", "r.*").drop("none"), "nodes")
-    banded = nodes.filter("n > 0").select("node", "n", F.posexplode("bands").alias("band", "h"))
-    buckets = banded.groupBy("band", "h").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("size")).filter("size > 1")
+    banded = nodes.filter("n > 0").select("node", "n", "unit", F.posexplode("bands").alias("band", "h"))
+    buckets = banded.groupBy("band", "h").agg(F.min(F.struct("node", "n", "unit")).alias("leader"), F.count("*").alias("size")).filter("size > 1")
     members = shared_table(banded.join(buckets, ["band", "h"]), "members")
-    pairs = members.select(F.col("node").alias("u"), F.col("leader.node").alias("v"), F.col("n").alias("a"), F.col("leader.n").alias("b"))
-    pairs = pairs.filter((F.col("u") != F.col("v")) & (F.least("a", "b") >= least * F.greatest("a", "b") if weights == "distinct" else F.lit(True)))
+    pairs = members.select(F.col("node").alias("u"), F.col("leader.node").alias("v"), F.col("n").alias("a"), F.col("leader.n").alias("b"), (F.col("unit") & F.col("leader.unit")).alias("unit"))
+    pairs = pairs.filter((F.col("u") != F.col("v")) & (~F.col("unit") | (F.least("a", "b") >= least * F.greatest("a", "b"))))
     pairs = shared_table(pairs.select("u", "v").distinct(), "pairs")
     links = components(verified(pairs, docs, nodes, k, least, weights))
     drop_tables(docs.sparkSession, pairs)
@@ -233,12 +235,12 @@ def classes(docs: DataFrame, k: int = K, least: float = LEAST, weights: str = "d
     open_ = split.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("lo < hi").select("band", "h", "size", "total")
     wanted = split.join(open_, ["band", "h"], "left_semi").select("node").distinct()
     sets = shingle_sets(node_texts(wanted, docs, nodes), k, weights).join(nodes.select("node", "sig", "bands"), "node")
-    sets = shared_table(sets, "open-sets", settle=True)
+    sets = shared_table(sets, "open-sets")
     rest = split.join(open_, ["band", "h"]).withColumn("blocks", F.expr(f"1 + greatest((size - 1) div {BLOCK}, total div {BLOCK_ITEMS})"))
     rest = rest.withColumns({"sub": F.expr("pmod(xxhash64(node), blocks)"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
     rest = rest.withColumns({"bi": F.least("sub", "other"), "bj": F.greatest("sub", "other")})
     rest = rest.join(sets, "node").select("band", "h", "bi", "bj", "node", "comp", "n", "sub", "sig", "bands", "items", "rates")
-    more = shared_table(rest.groupBy("band", "h", "bi", "bj").applyInArrow(_compare(least), "u long, v long"), "more-links", settle=True)
+    more = shared_table(rest.groupBy("band", "h", "bi", "bj").applyInArrow(_compare(least), "u long, v long"), "more-links")
     links = components(more.union(links))
     drop_tables(docs.sparkSession, members, split, sets)
 
