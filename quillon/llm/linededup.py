@@ -7,7 +7,7 @@ per task; the join that finds later occurrences is an equi-join whose large part
 
 Defined cases: null text is empty; a text of fewer than three lines keeps all; a document may lose every line and then
 has the empty text; rows that agree in doc_id and text are one document and get the same result; an empty table gives
-an empty result; other columns pass through mark_lines' caller untouched.
+an empty result; other columns pass through dedup_lines, but for _lines, _removed and _before, which it sets.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shared_table
+from quillon.llm.common import free, shared_table
 
 WIDTH = 3
 
@@ -34,16 +34,25 @@ def later_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return later.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("starts"))
 
 
+#: Documents that lose lines, and windows they lose, that may be broadcast to meet the texts.
+MOST_DOCS, MOST_WINDOWS = 100_000, 1_000_000
+
+
 def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """All rows and columns of docs, text replaced by what is left, and _lines, _removed (line numbers), _before."""
     given = docs.withColumn("_before", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
-    later = later_windows(given.select("doc_id", "text"), width).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "starts")
-    marked = given.join(later, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left")
-    removed = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.array(*(p + k for k in range(width)))))))
+    later = shared_table(later_windows(given.select("doc_id", "text"), width), "later-windows")
+    n, total = later.agg(F.count("*"), F.sum(F.size("starts"))).first()
+    doc, th, starts = (free(given, c) for c in ("_doc", "_th", "_starts"))
+    later = later.select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("starts").alias(starts))
+    # its size is known: texts stay where they are unless very many documents lose lines
+    later = F.broadcast(later) if n <= MOST_DOCS and (total or 0) <= MOST_WINDOWS else later
+    marked = given.join(later, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left")
+    removed = F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.array(*(p + k for k in range(width)))))))
     marked = marked.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_removed", F.coalesce(removed, F.expr("cast(array() as array<int>)")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed")
     left = F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n")
-    return marked.withColumn("text", F.when(F.size("_removed") > 0, left).otherwise(F.col("text"))).drop("_doc", "_th", "starts")
+    return marked.withColumn("text", F.when(F.size("_removed") > 0, left).otherwise(F.col("text"))).drop(doc, th, starts)
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
