@@ -21,11 +21,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import spread
+from quillon.llm.common import free, spread
 
 WINDOW, STRIDE = 48, 36
 #: Bounds on the training sample.
@@ -33,6 +33,8 @@ PER_LABEL, LOOKED_AT, LONGEST = 600, 8000, 4000
 DIM, HIDDEN, TRIGRAMS, EPOCHS, BATCH, CUT = 8, 8, 2048, 5, 32, 0.3
 #: Standard errors by which a word's rates must differ between the labels; shrinkage of all parameters.
 SURE, DECAY = 3.5, 0.02
+#: Texts, and characters of them, that are scored together.
+TOGETHER, CHARACTERS = 256, 1_000_000
 #: Words whose inputs a worker keeps.
 KEPT = 250_000
 _WORD = re.compile(r"\w+")
@@ -301,10 +303,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
         part = known.filter(F.col("toxic") == label).orderBy(*by_hash).limit(LOOKED_AT)
         first = part if first is None else first.union(part)
     texts = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST).join(F.broadcast(first), "doc_id")
-    out = []
-    for label in (0, 1):
-        out += texts.filter(F.col("toxic") == label).orderBy(*by_hash, "text").limit(PER_LABEL).collect()
-    return out
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(*by_hash, "text"))
+    return texts.withColumn("place", place).filter(F.col("place") <= PER_LABEL).orderBy("toxic", "place").select("text", "toxic").collect()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | float:
@@ -312,18 +312,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | float:
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 
-def scored(docs: DataFrame, model: Network | float) -> DataFrame:
-    """All columns of docs, and score as the last."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+def scored(docs: DataFrame, model: Network | float, name: str = "score") -> DataFrame:
+    """All columns of docs, and the score as the last; name: one that no other column has."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     place = docs.columns.index("text")
 
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            found = []
-            for a in range(0, batch.num_rows, 256):
-                found.append(scorer.score(batch.column(place).slice(a, 256).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *found]))], [*batch.schema.names, "score"])
+            found, texts, held = [np.zeros(0)], [], 0
+            for text in batch.column(place):
+                texts.append(text.as_py())
+                held += len(texts[-1] or "")
+                if len(texts) == TOGETHER or held >= CHARACTERS:
+                    found.append(scorer.score(texts))
+                    texts, held = [], 0
+            found.append(scorer.score(texts) if texts else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], [*batch.schema.names, name])
 
     return spread(docs).mapInArrow(run, schema)
 
@@ -335,6 +340,5 @@ def query(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with its columns, whose score is under CUT."""
-    named = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
-    out = scored(named, train(docs, labels)).filter(F.col("score") < CUT).drop("score")
-    return out.withColumnRenamed("_score", "score") if "score" in docs.columns else out
+    score = free(docs, "score")
+    return scored(docs, train(docs, labels), score).filter(F.col(score) < CUT).drop(score)
