@@ -1,6 +1,8 @@
 """The training-data operators against brute force, round trips and their stated edge cases."""
 
+import collections
 import hashlib
+import random
 import re
 import textwrap
 import zlib
@@ -44,6 +46,19 @@ def test_edge_rows_and_empty_table(spark, docs, none, query):
         assert len(set(same)) == 1 and len(same) == 2
 
 
+def test_clashing_columns_pass(spark):
+    """Columns that operators use themselves pass through those that keep a table's columns."""
+    names = ["source", "_doc", "_th", "_starts", "starts", "_score", "score", "th", "key", "part"]
+    rows = [(i, t, *names) for i, t in enumerate([LINES, LINES, None, "x"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = linededup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [r.text for r in out] == [LINES, "", "", "x"] and all(r[n] == n for r in out for n in names)
+    kept = toxicity.reject(df, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(kept) == 4 and all(r[n] == n for r in kept for n in names)
+    for query in OPERATORS:
+        assert query(spark, df).count() == 4
+
+
 def test_line_dedup(spark, docs):
     left = {(r.doc_id, r._before): r.text for r in linededup.dedup_lines(docs.select("doc_id", "text")).collect()}
     assert left[7, LINES] == LINES and left[8, "intro\n" + LINES] == "intro" and left[9, LINES] == ""
@@ -105,6 +120,26 @@ def test_accidental_cells_hide_no_pair():
     assert neardup._compare(0.8)(table.set_column(4, "band", pa.array([4, 4]))).num_rows == 0
 
 
+def test_weighted_near_copies(spark):
+    """With occurrences as weights, by the probability Jaccard similarity of brute force."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(40)]
+    texts = [" ".join(base * n + [f"z{k}x{i}" for i in range(rng.randint(0, 60))]) for k, n in enumerate([1, 2, 3, 4, 8, 8, 8, 12, 16, 1, 1])]
+    sets = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+
+    def similarity(x, y):
+        return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    out = neardup.query(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in out} == dict(enumerate(root)) and len(set(root)) < len(root)
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(2)
     items = rng.integers(1, 2**63, 300).astype(np.uint64)
@@ -117,20 +152,61 @@ def test_probability_jaccard_and_its_estimate():
     assert np.mean((sig[0] & 0xFFFFFF) == (sig[1] & 0xFFFFFF)) == pytest.approx(exact, abs=0.04)
 
 
-def test_suffix_dedup_against_brute_force(spark):
+def repeated_bytes(rows):
+    """Brute force: (doc_id, bytes, bytes removed, runs removed, digest) of rows (doc_id, text)."""
+    first, out = {}, []
+    for i, t in sorted(((i, t) for i, t in rows if i is not None), key=lambda r: r[0]):
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if i is not None and first[b[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        runs = np.count_nonzero(np.diff(gone.astype(int), prepend=0) == 1)
+        out.append((i, len(b), int(gone.sum()), int(runs), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def suffix_cases():
     rng = np.random.default_rng(3)
     parts = ["".join(rng.choice(list("abcdé "), 120)) for _ in range(6)]
     texts = ["".join(rng.choice(parts) for _ in range(rng.integers(0, 5))) + "".join(rng.choice(list("xyz"), 70)) for _ in range(60)]
-    texts += ["a" * 300, "a" * 49, "b" + "a" * 200, texts[3]]
-    seen, want = set(), {}
-    for i, t in enumerate(texts):
-        b = t.encode()
-        own = {b[k : k + 50] for k in range(len(b) - 49)}
-        gone = {k + j for k in range(len(b) - 49) if b[k : k + 50] in seen for j in range(50)}
-        want[i] = (len(gone), hashlib.sha256(bytes(x for k, x in enumerate(b) if k not in gone)).hexdigest())
-        seen |= own
-    out = suffixes.query(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in out} == want
+    texts += ["a" * 300, "a" * 49, "b" + "a" * 200, texts[3], "ab" * 200, "ab" * 100 + "c", "\0" * 200, "x" + "\0" * 120, "", None]
+    yield "passages", list(enumerate(texts))
+    yield "equal and missing ids", [(i % 5, (t or "") + str(i)) for i, t in enumerate(texts)] + [(7, texts[0])] * 3 + [(None, texts[0]), (None, texts[1])]
+    base = "".join(rng.choice(list("abcd "), 400))
+    many = [(1, base[j : j + 80] + "".join(rng.choice(list("xyzw"), 60)) + str(i)) for i, j in enumerate(rng.integers(0, 300, 1300).tolist())]
+    yield "over 1024 texts of one id", many + [(0, base), (2, base + "q")] + [(9, many[k][1]) for k in range(0, 300, 3)]
+    base = ["".join(rng.choice(list("ab"), 300)) for _ in range(3)]
+    edits = []
+    for i in range(150):
+        t = list(base[rng.integers(3)])
+        for k in rng.choice(300, rng.integers(0, 6), replace=False):
+            t[k] = "c"
+        edits.append((i, "".join(t)[rng.integers(0, 100) :]))
+    yield "edited copies", edits
+
+
+@pytest.mark.parametrize("rows", [r for _, r in suffix_cases()], ids=[n for n, _ in suffix_cases()])
+def test_suffix_dedup_against_brute_force(spark, rows):
+    out = suffixes.query(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out), key=str) == repeated_bytes(rows)
+
+
+def test_suffixes_are_sorted():
+    """Pointers order all suffixes of spans of several documents as their bytes do, as far as windows reach."""
+    rng = np.random.default_rng(9)
+    spans = [bytes(rng.choice([97, 98, 0], 90).astype(np.uint8)) for _ in range(3)] * 2 + [b"a" * 120] * 2
+    raw = np.frombuffer(b"".join(s + bytes(8) for s in spans) + bytes(8), np.uint8)
+    span = np.repeat(np.arange(len(spans)), [len(s) + 8 for s in spans])
+    pointer = suffixes.sorted_suffixes(suffixes._codes(raw), span, np.arange(len(spans)))
+    begin = np.cumsum([0] + [len(s) + 8 for s in spans])
+    tails = {int(begin[k] + i): (s[i:] + bytes(200))[:50] for k, s in enumerate(spans) for i in range(len(s) - 49)}
+    by_pointer = sorted(tails, key=lambda p: (pointer[p], p))
+    assert [tails[p] for p in by_pointer] == sorted(tails.values())
 
 
 def test_mixing_meets_targets(spark):
@@ -145,6 +221,52 @@ def test_mixing_meets_targets(spark):
     assert out.groupby("source").target.first().sum() == pytest.approx(out["size"].sum())
 
 
+def test_mixing_of_tiny_sources_and_hot_ids(spark):
+    """Sources of a few words come near their targets; missing and repeated ids are documents of their own."""
+    rows = [(None if i % 3 == 0 else i % 40, " ".join(f"w{i}" for _ in range(9 if i < 900 else i % 700)), f"s{i:04d}" if i < 900 else None) for i in range(1200)]
+    rows += [(5, "same text here", "zz")] * 40 + [(6, None, "none"), (7, "", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df)[0].toPandas()
+    assert len(out) == len(rows) and (out.taken <= 3 * out["size"]).all()
+    by = out.groupby(out.source.fillna("\uffff")).agg(size=("size", "sum"), taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) <= 1 + by["size"] / 256).all()
+    # the targets by hand: water filled under the cap of three times a source's size
+    names, weight = sorted(by.index), {}
+    for k, n in enumerate(names):
+        weight[n] = (5, 2, 1)[k % 3]
+    left, free, want = float(by["size"].sum()), set(names), {}
+    while True:
+        share = left / sum(weight[n] for n in free)
+        full = {n for n in free if share * weight[n] > 3 * by["size"][n]}
+        if not full:
+            break
+        left -= sum(3 * by["size"][n] for n in full)
+        want |= {n: 3.0 * by["size"][n] for n in full}
+        free -= full
+    want |= {n: share * weight[n] for n in free}
+    assert all(by.target[n] == pytest.approx(want[n]) for n in names)
+
+
+def test_blocks_hold_the_words_they_name(spark):
+    """The slots, joined to words: as often as the mix takes each word of a document."""
+    rows = [(i, " ".join(f"d{i}x{k}" for k in range(i * 7 % 90)), "ab"[i % 2]) for i in range(120)]
+    made = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard=64)
+    taken = {r.doc_id: r.taken for r in made.rows.collect()}
+    blocks = made.blocks().collect()
+    held = collections.Counter(w.split("x")[0] for b in blocks for w in b.words)
+    assert {f"d{k}": n for k, n in taken.items() if n} == held and len(blocks) == made.slots().count()
+    assert max(collections.Counter(b.shard for b in blocks).values()) == 64
+    words = [w for _, t, _ in rows for w in t.split()]
+    order = {w: k for k, w in enumerate(words)}
+    assert all(order[a] + 1 == order[b] for x in blocks for a, b in zip(x.words, x.words[1:], strict=False) if a.split("x")[0] == b.split("x")[0])
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(k, i, i * i % 7) for k in (1, 2) for i in range(300)], "key long, i long, v long")
+    out = mixing.running(df, "v", "before", "i", ["key"], near=5).collect()
+    assert all(r.before == sum(i * i % 7 for i in range(r.i)) for r in out) and len(out) == 600
+
+
 def test_mixed_documents_meet_targets(spark):
     """Whole documents of many blocks keep to the targets; no id and equal ids of different texts are documents of their own."""
     import corpus_pipeline
@@ -172,11 +294,35 @@ def test_permutation_is_one(spark):
         assert sorted(got) == list(range(n))
 
 
-def test_bpe_agrees_with_the_library():
-    coder = bpe.Coder(bpe.default_path())
-    for t in [t or "" for t in TEXTS] + ["x" * 3000, "é" * 3000, "á İ ŉ   \x1c ²"]:
-        want = coder.library.encode(t, add_special_tokens=False).ids
-        assert coder.encode(t) == (" ".join(map(str, want)), coder.library.decode(want, skip_special_tokens=False))
+def test_bpe_agrees_with_the_library(spark):
+    library = bpe.Coder(bpe.default_path()).library
+    rng = random.Random(1)
+    some = [*"aAbé É×÷ß'sS123 ²  \t\n\r\x0b\x1c\x85漢字İŉ_-.,!é́", "<|endoftext|>", "<|startoftext|>", "don't ", "THE ", "naïve ", "日本 "]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 300))) for _ in range(600)]
+    texts += [*TEXTS, "x" * 3000, "é" * 3000, "á İ ŉ \x1c ²", "word and more " * 400_000, "".join(texts), "".join(texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in bpe.encode(df, ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+        assert [out[i].ids, out[i].n_tokens, out[i].ids_sha256, out[i].decoded_sha256] == [ids, len(ids), *want], i
+
+
+def test_bpe_refuses_other_vocabularies():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        bpe.Coder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_bpe_stores_forget(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNKS", 5)
+    monkeypatch.setattr(bpe, "PIECES", 50)
+    code = bpe.Coder(bpe.default_path())
+    for t in TEXTS * 2:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        ids, n = code.encode(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == code.library.encode(t or "", add_special_tokens=False).ids and n.tolist() == [len(ids)]
 
 
 def test_secrets_against_regex(spark, docs):
@@ -187,6 +333,34 @@ def test_secrets_against_regex(spark, docs):
     assert out[0].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_against_brute_force(spark):
+    """Counts, digests and spans of random texts, equal ids with different texts, very many finds in a text."""
+    rng = random.Random(2)
+    some = ["password", "PASSWD", "Secret", "token", "api_key", "apikey", "ApI_KeY", "=", ":", " ", '"', "'", "AKIA", "akia", "abcdef0123456789abcdef01", "ABCDEFGH12345678", "x", "é", "漢", "ghp_", "A" * 36, "xoxb-", "123-abc-456", "AIza", "-----BEGIN RSA PRIVATE KEY-----", "\n", ".", "pass", "\u212a"]
+    rows = [(rng.choice([None, 1, 2, i]), "".join(rng.choice(some) for _ in range(rng.randint(0, 40)))) for i in range(1500)]
+    rows += [(9, None), (9, ""), (9, ""), (10, " ".join(["deadbeef" * 4] * 3000)), (10, "token=abcdefgh " * 3000)]
+
+    def expected(i, t):
+        found = sorted((m.start(), rank, m.end(), kind) for rank, (kind, regex, group, least) in enumerate(secrets.RULES) for m in re.finditer(regex, t or "") if len(m.group(group)) >= least)
+        joined = [",".join(f"{k}:{a}:{b}" for a, rank, b, k in found if rank < most) for most in (3, 99)]
+        return (i, *(sum(x[3] == k for x in found) for k in ("assign", "access", "hex")), hashlib.sha256(joined[0].encode()).hexdigest(), joined[1])
+
+    out = secrets.query(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(map(tuple, out)) == collections.Counter(expected(*r) for r in rows)
+
+
+def test_posting_lists(spark):
+    """The index holds the named trigrams of each text; its lists fulfil a query just where the texts do."""
+    texts = ["akia ABC", "xxAKIAxx", "a k i a", "kia aki", "", "tokens: poke ten"]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    index = trigrams.postings(df, ["aki", "kia", "tok", "oke", "ken"])
+    assert {(r.key, r.trigram) for r in index.collect()} == {(i, g) for i, t in enumerate(texts) for g in ("aki", "kia", "tok", "oke", "ken") if g in t.lower()}
+    queries = {"a": trigrams.trigram_query("AKIA[A-Z]+"), "t": trigrams.trigram_query("(?:token|poker)s")}
+    assert {(r.key, r.rule) for r in trigrams.intersected(index, queries, ["key"]).collect()} == {(0, "a"), (1, "a"), (3, "a")}
+    assert trigrams.clauses(("and", ["abc", ("or", ["bcd", "cde"])])) == [frozenset({"abc", "bcd"}), frozenset({"abc", "cde"})]
+    assert trigrams.clauses(("or", ["abc", ("and", ["abc", "xyz"])])) == [frozenset({"abc"})] and trigrams.clauses(True) == []
+
+
 def test_trigram_queries():
     assert trigrams.trigram_query(r"[0-9a-f]{24,}") is True
     assert trigrams.named(trigrams.trigram_query(r"AKIA[A-Z]+")) == {"aki", "kia"}
@@ -257,6 +431,37 @@ def test_ann_recall_and_invalid_vectors(spark):
     assert len(few) == 2 and not ann.query(spark, spark.createDataFrame([], "vec_id long, embedding array<double>")).collect()
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0, 3.0])
+def test_ann_recall_of_unequal_lengths(spark, spread):
+    """Several shards, vectors of unequal length: the nearest by inner product, with exact scores."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 16)) * np.exp(spread * rng.standard_normal(4000))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.search(df, shard=900, short=1200).toPandas()
+    hit = 0
+    for q, g in out.groupby("query_id"):
+        s = np.einsum("ij,j->i", x, x[q])
+        assert np.array_equal(s[g.vec_id], g.score)
+        s[q] = -np.inf
+        hit += len(set(g.vec_id) & set(np.argsort(-s)[:20]))
+    assert out.query_id.nunique() == 200 and hit / 4000 >= 0.9
+
+
+def test_ann_edge_rows(spark):
+    """Vectors of each length among themselves, equal vectors, repeated rows, several vectors of one vec_id."""
+    rows = [(i, [float(i), 1.0, 2.0]) for i in range(30)] + [(100 + i, [1.0, float(i)]) for i in range(25)] + [(200, [5.0]), (100, [1.0, 3.0]), (100, [1.0, 3.0]), (None, [1.0, 3.0])]
+    rows += [(1000 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(100)] + [(1100, [float("inf"), 1.0])]
+    got = {}
+    for r in ann.query(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {}
+    for q in {r[0] for r in rows if r[0] is not None and r[0] % 20 == 0}:
+        pairs = {(i, float(np.dot(v, w))) for i, v in map(lambda r: (r[0], tuple(r[1])), rows) for j, w in rows if j == q and i is not None and i != q and len(v) == len(w) and np.isfinite([*v, *w]).all() and any(v)}
+        if pairs:
+            want[q] = sorted(pairs, key=lambda p: (-p[1], p[0]))[:20]
+    assert got == want
+
+
 def test_toxicity(spark, docs):
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(200)]
