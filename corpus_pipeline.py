@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, linededup, mixing, neardup, toxicity
-from quillon.llm.common import shared_dir
+from quillon.llm.common import release, shared_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,11 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Of what the stages wrote, only the input of the last one is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/stage-{k}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = shared_table(docs, f"stage-{k}")
+            release(spark, docs)
     return docs
