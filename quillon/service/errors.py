@@ -1,4 +1,7 @@
-"""Errors and the HTTP status that a surface would answer with."""
+"""Errors and the HTTP status that a surface answers with. Of several that fit, the most special one counts."""
+
+from quillon.operators.models import ModelError
+from quillon.sources.extract import ExtractionError
 
 
 class EngineError(Exception):
@@ -25,5 +28,11 @@ class UpstreamError(EngineError):
     status = 502
 
 
+class Misconfigured(EngineError):
+    status = 500
+
+
 def status_of(error: Exception) -> int:
-    return error.status if isinstance(error, EngineError) else 500
+    if isinstance(error, EngineError):
+        return error.status
+    return 502 if isinstance(error, ModelError) else 422 if isinstance(error, ExtractionError) else 500

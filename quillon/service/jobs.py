@@ -52,9 +52,9 @@ class Jobs:
 
     def _run(self, job_id: str, work: Callable) -> None:
         self._put(job_id, status="running")
-        if self.spark:
-            self.spark.sparkContext.setJobGroup(job_id, job_id, interruptOnCancel=True)
         try:
+            if self.spark:
+                self.spark.sparkContext.setJobGroup(job_id, job_id, interruptOnCancel=True)
             result = work(lambda done, total: self._put(job_id, done=done, total=total))
             self._put(job_id, status="succeeded", result=result)
         except Exception as error:
@@ -64,6 +64,12 @@ class Jobs:
         with self._lock:
             return self._jobs.get(job_id)
 
+    def tasks(self, job_id: str) -> tuple[int, int]:
+        """(done, all) of the Spark tasks that the job's group runs just now."""
+        tracker = self.spark.sparkContext.statusTracker() if self.spark else None
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(job_id) if (info := tracker.getJobInfo(j)) for s in info.stageIds] if tracker else []
+        return sum(s.numCompletedTasks for s in stages if s), sum(s.numTasks for s in stages if s)
+
     def cancel(self, job_id: str) -> None:
         if self.spark:
             self.spark.sparkContext.cancelJobGroup(job_id)

@@ -27,9 +27,18 @@ class Settings:
     max_images_per_answer: int = 2
     max_upload_mb: int = 50
     summarize_text_chunks: bool = False
+    summarize_concurrency: int = 4
     llm_max_retries: int = 4
     llm_max_backoff: float = 75.0
-    embedding_model: str = "sha256:32"
+    llm_min_interval: float = 0.0
+    extractor_backend: str = "pdf"
+    ocr_enabled: bool = False
+    render_dpi: int = 200
+    image_max_dimension: int = 900
+    embedding_provider: str = "sha256"
+    embedding_model: str = "32"
+    embedding_batch: int = 128
+    log_level: str = "INFO"
     cors_origins: tuple[str, ...] = ()
 
     def __post_init__(self):
@@ -39,6 +48,8 @@ class Settings:
             raise ValueError("min_region_area_ratio must be under max_region_area_ratio")
         if not 1 <= self.retrieval_k <= 25:
             raise ValueError("retrieval_k must be within 1 and 25")
+        if min(self.summarize_concurrency, self.embedding_batch, self.max_upload_mb, self.max_context_chars) < 1 or self.llm_max_retries < 0:
+            raise ValueError("counts and sizes must be at least 1, retries at least 0")
         if not 0 <= self.lexical_weight <= 1:
             raise ValueError("lexical_weight must be within 0 and 1")
 
