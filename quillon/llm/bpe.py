@@ -31,9 +31,9 @@ from quillon.llm.bytehash import between, mixed, prefix, slices
 from quillon.llm.common import spread
 
 #: One cut in about this many bytes; bytes of texts that are encoded together.
-CHUNK, SLICE = 512, 2 << 20
+CHUNK, SLICE = 512, 1 << 20
 #: Bounds on what a worker process keeps: distinct pieces, chunks, and ids of either.
-PIECES, CHUNKS, IDS = 2_000_000, 200_000, 16_000_000
+PIECES, CHUNKS, IDS = 1_000_000, 100_000, 8_000_000
 #: Words of more bytes than this are kept by their digest.
 LONG = 64
 _GEAR = np.random.default_rng(5).integers(0, 1 << 16, 256, dtype=np.uint16)

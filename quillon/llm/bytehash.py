@@ -8,7 +8,7 @@ import pyarrow as pa
 PRIME = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(PRIME, -1, 1 << 64)
 #: Bytes of text hashed in one go.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 

@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP, BLOCK, SHARD, ROUNDS, SEED = 3, 32, 1024, 8, 20240517
 #: Documents in a group, and groups or sources, within which running sums are formed by one window.
-GROUP, NEAR = 1_000, 10_000
+GROUP, NEAR = 256, 10_000
 #: A source of fewer words than BLOCK times this has smaller blocks.
 FINE = 256
 #: Slots in a task.

@@ -21,11 +21,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import free, spread
+from quillon.llm.common import free, shared_table, spread
 
 WINDOW, STRIDE = 48, 36
 #: Bounds on the training sample.
@@ -36,7 +36,7 @@ SURE, DECAY = 3.5, 0.02
 #: Texts, and characters of them, that are scored together.
 TOGETHER, CHARACTERS = 256, 1_000_000
 #: Words whose inputs a worker keeps.
-KEPT = 250_000
+KEPT = 120_000
 _WORD = re.compile(r"\w+")
 
 
@@ -303,8 +303,11 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
         part = known.filter(F.col("toxic") == label).orderBy(*by_hash).limit(LOOKED_AT)
         first = part if first is None else first.union(part)
     texts = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST).join(F.broadcast(first), "doc_id")
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(*by_hash, "text"))
-    return texts.withColumn("place", place).filter(F.col("place") <= PER_LABEL).orderBy("toxic", "place").select("text", "toxic").collect()
+    texts = shared_table(texts, "labelled-texts")  # documents are read once for both labels
+    out = []
+    for label in (0, 1):
+        out += texts.filter(F.col("toxic") == label).orderBy(*by_hash, "text").limit(PER_LABEL).select("text", "toxic").collect()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | float:
