@@ -394,6 +394,41 @@ def test_licenses():
         assert all(m.best(licenses.bigrams(licenses.normalised(t)))[1] == name for t in texts)
 
 
+def test_licence_units_against_brute_force(spark):
+    """Every unit against every template, without bounds: the same matches of units, through the query."""
+    rng = random.Random(7)
+    parts = [s for texts in licenses.COMPLETE.values() for t in texts for s in licenses._SENTENCE.split(t)[:4]]
+    texts = []
+    for _ in range(120):
+        some = []
+        for _ in range(rng.randint(1, 4)):
+            words = rng.choice(parts).split()
+            for _ in range(rng.randint(0, 3)):
+                words.insert(rng.randint(0, len(words)), f"extra{rng.randint(0, 9)}")
+            some.append(" ".join(words))
+        texts.append(rng.choice([" ", "\n"]).join(some))
+    out = {r.doc_id: r.spans for r in licenses.query(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    templates = [(name, licenses.bigrams(licenses.normalised(t))) for name, ts in licenses.COMPLETE.items() for t in ts]
+    hits = 0
+    for i, text in enumerate(texts):
+        units, at = {(0, len(text))}, 0
+        for line in text.split("\n"):
+            cuts = [at, *(at + k for m in licenses._SENTENCE.finditer(line) for k in m.span()), at + len(line)]
+            units |= {(at, at + len(line)), *zip(cuts[::2], cuts[1::2], strict=True)}
+            at += len(line) + 1
+        want = set()
+        for a, b in units:
+            own = licenses.bigrams(licenses.normalised(text[a:b]))
+            dice = [(2 * len(own & t) / (len(own) + len(t)), name) for name, t in templates if own]
+            best = max((d for d, _ in dice), default=0)
+            if best >= 0.8:
+                want.add(f"{a}:{b}:{min(name for d, name in dice if d == best)}")
+        got = set(filter(None, out[i].split(",")))
+        assert want <= got and all(tuple(map(int, x.split(":")[:2])) not in units for x in got - want)
+        hits += len(want)
+    assert hits > 50
+
+
 def test_licences_over_lines():
     """Complete licences and notices, wrapped, alone or within other lines, are found; each complete text as itself."""
     m = licenses.Matcher()
@@ -482,6 +517,18 @@ def test_toxicity(spark, docs):
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """Of labelled documents that the network never saw."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.query(spark, docs, labels).filter("held_out").join(labels, "doc_id").toPandas()
+    toxic = out.toxic == 1
+    rank = out.score.rank()
+    auc = (rank[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    print(f"held out: {len(out)}, toxic {toxic.sum()}, AUC {auc:.3f}, recall {out.predicted[toxic].mean():.3f}, of clean ones rejected {out.predicted[~toxic].mean():.4f}")
+    assert auc > 0.93 and out.predicted[toxic].mean() > 0.8 and out.predicted[~toxic].mean() < 0.05
+
+
 def test_network_gradients():
     net = toxicity.Network({"a": 0, "b": 1}, np.array([0.5, -0.5], np.float32))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -498,6 +545,75 @@ def test_network_gradients():
         assert grad[k][at] == pytest.approx((up - down) / 2e-3, rel=0.02, abs=1e-6)
 
 
+def lines_left(rows):
+    """Brute force: texts without the lines of three-line windows that an earlier place (doc_id, line) holds."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        for k in range(len(lines) - 2):
+            window = tuple(lines[k : k + 3])
+            if window in seen:
+                gone |= {k, k + 1, k + 2}
+            seen.add(window)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def classes_of(texts):
+    """Brute force: the smallest doc_id of each document's component of links of at least 0.8."""
+    sets = {}
+    for i, t in texts.items():
+        w = [x.lower() for x in t.split()]
+        sets[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
+    root = {i: i for i in texts}
+
+    def similar(x, y):
+        if not x or not y:
+            return x == y
+        return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys()) >= 0.8 - 1e-12
+
+    for i in texts:
+        for j in texts:
+            if j < i and root[i] != root[j] and similar(sets[i], sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept: lines, near copies, the mix, token counts and digests."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    shared = ["\n".join(f"shared {k} line {i} of a passage" for i in range(4)) for k in range(3)]
+    rows = []
+    for i in range(90):
+        own = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 40)) for _ in range(12)) for _ in range(rng.randint(1, 8))]
+        if i % 5 == 0:
+            own.insert(rng.randint(0, len(own)), rng.choice(shared))
+        rows.append((i, "\n".join(own)))
+    rows += [(200 + k, rows[k][1] + " tail") for k in range(0, 40, 3)] + [(300, rows[8][1]), (301, ""), (302, "")]
+    df = spark.createDataFrame([(i, t, "en", "abc"[i % 3], len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, df, str(tmp_path))
+    assert sorted(map(tuple, clean.collect())) == sorted(map(tuple, df.collect()))
+    left = {r.doc_id: r.text for r in stages["line dedup"](spark, clean, str(tmp_path)).collect()}
+    assert left == lines_left(rows)
+    docs = spark.createDataFrame([(i, t, "en", "abc"[i % 3], len(t)) for i, t in left.items()], df.schema)
+    kept = {r.doc_id: r.text for r in stages["near dedup"](spark, docs, str(tmp_path)).collect()}
+    assert kept == {i: left[i] for i in set(classes_of(left).values())}
+    docs = spark.createDataFrame([(i, t, "en", "abc"[i % 3], len(t)) for i, t in kept.items()], df.schema)
+    mixed = stages["mixing"](spark, docs, str(tmp_path)).collect()
+    times = collections.Counter(r.doc_id for r in mixed)
+    assert all(kept[r.doc_id] == r.text for r in mixed) and max(times.values()) <= 3
+    library = bpe.Coder(bpe.default_path()).library
+    out = stages["bpe"](spark, spark.createDataFrame(mixed, df.schema), str(tmp_path)).collect()
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in kept.items()}
+    want = collections.Counter((r.doc_id, len(ids[r.doc_id]), hashlib.sha256(" ".join(map(str, ids[r.doc_id])).encode()).hexdigest()) for r in mixed)
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in out) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
