@@ -117,7 +117,7 @@ class Store:
         manifest = self._manifest()
         for name, df in tables.items():
             base = f"{name}/{uuid.uuid4().hex}"
-            df.withColumn("_part", part_of(F.col("document_id"))).repartition("_part").write.partitionBy("_part").parquet(f"{self.folder}/{base}")
+            df.withColumn("_part", part_of(F.col("document_id"))).hint("rebalance", F.col("_part")).write.partitionBy("_part").parquet(f"{self.folder}/{base}")
             found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{base}"))]
             new = {n.partition("=")[2]: f"{base}/{n}" for n in found if n.startswith("_part=")}
             old = manifest.get(name, {}).get("parts", {}) if touched is not None else {}
