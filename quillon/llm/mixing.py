@@ -123,7 +123,7 @@ def pieces(rows: DataFrame, n_rows: int) -> DataFrame:
     block; n of them, after the first skip words of the row, from a place in the block on."""
     rows = rows.filter("size > 0").withColumn("grp", F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 + n_rows // GROUP)))
     group = Window.partitionBy("src", "grp").orderBy("doc_id", "size", "th", "row")
-    starts = rows.groupBy("src", "grp").agg(F.sum("size").alias("g_size"))
+    starts = shared_table(rows.groupBy("src", "grp").agg(F.sum("size").alias("g_size")), "mix-starts")
     starts = running(starts, "g_size", "g_start", "grp", ["src"])
     rows = join_sized(rows.withColumn("upto", F.sum("size").over(group)), starts.drop("g_size"), ["src", "grp"])
     rows = rows.withColumn("b", F.col("g_start") + F.col("upto")).withColumn("a", F.col("b") - F.col("size"))
@@ -189,7 +189,8 @@ def whole_copies(mixed: DataFrame, group: int = GROUP) -> DataFrame:
     rows = join_sized(rows, rows.groupBy("src").agg(F.count("*").alias("n")), ["src"])
     share = F.expr(f"taken * {ONE} div size")
     rows = rows.withColumns({"grp": F.pmod(F.xxhash64("doc_id", "th"), F.expr(f"1 + n div {group}")), "share": share}).drop("n")
-    starts = running(rows.groupBy("src", "grp").agg(F.sum("share").alias("g_share")), "g_share", "before", "grp", ["src"])
+    starts = shared_table(rows.groupBy("src", "grp").agg(F.sum("share").alias("g_share")), "mix-shares")
+    starts = running(starts, "g_share", "before", "grp", ["src"])
     starts = starts.select("src", "grp", (F.pmod(F.xxhash64(F.lit(SEED), "src"), F.lit(ONE)) + F.col("before")).alias("start"))
     # Neighbours have like sizes, so that a carried remainder is worth about as many words where it is paid out.
     order = Window.partitionBy("src", "grp").orderBy("size", F.xxhash64(F.lit(SEED), "doc_id", "th"), "doc_id", "th", "row")
