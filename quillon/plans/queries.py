@@ -12,7 +12,7 @@ from quillon.functions import text as T
 from quillon.operators import chunking, context, enrich, geometry, pages, retrieval, scratch, store
 from quillon.plans import views as V
 from quillon.service.engine import report_rows, source_rows
-from quillon.sources.files import content_id
+from quillon.sources import files
 
 c = F.col
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -81,7 +81,15 @@ def _store(spark, d):
     return out
 
 
-# -- scalars
+# -- files and scalars
+
+
+def scanned(spark, d):
+    """Documents as if they were files, some of another suffix, without the header, or too large."""
+    text = F.concat(F.when(c("doc_id") % 4 == 1, "").otherwise("%PDF-1.4 "), c("text"))
+    path = F.concat(F.lit("file:/in/d"), c("doc_id").cast("string"), F.when(c("doc_id") % 5 == 2, ".txt").when(c("doc_id") % 5 == 3, ".PDF").otherwise(".pdf"))
+    rows = _docs(spark, d).select(path.alias("path"), F.encode(text, "utf-8").alias("content"), F.current_timestamp().alias("modificationTime"))
+    return files.checked(rows.withColumn("length", F.octet_length("content").cast("long")), 4000).drop("modification_time")
 
 
 def vector_topk(spark, d):
@@ -194,7 +202,8 @@ def by_caption(spark, d):
 def contexts(spark, d):
     image = F.when(c("kind") != "text", F.concat(c("element_id"), F.lit(".png")))
     found = context.contexts(search(spark, d).withColumn("image_path", image), 2000)
-    return context.prompts(found, V.questions(spark, d)).join(found.select("qid", "n_blocks", "labels"), "qid")
+    out = context.prompts(found, V.questions(spark, d)).join(found.select("qid", "n_blocks", "labels"), "qid")
+    return out.withColumns({"images": F.array_join("images", ","), "labels": F.array_join("labels", ",")})
 
 
 def sources(spark, d):
@@ -332,7 +341,8 @@ def stubbed(spark, d):
 
 
 QUERIES = {
-    "content_id": lambda s, d: _docs(s, d).select("doc_id", content_id(c("text")).alias("document_id")),
+    "scan_documents": scanned,
+    "content_id": lambda s, d: _docs(s, d).select("doc_id", files.content_id(c("text")).alias("document_id")),
     "retrieval_text": lambda s, d: V.vectors(s, d).select("element_id", "content"),
     "tokenize": lambda s, d: _docs(s, d).select("doc_id", F.array_join(T.tokens(c("text")), " ").alias("tokens")),
     "extract_references": caption_kinds,
@@ -415,12 +425,51 @@ def _case(of: str, values: list) -> str:
     return f"CASE {of} " + " ".join(f"WHEN {i} THEN {said(v)}" for i, v in enumerate(values)) + " END"
 
 
+_ANCHORED = f"{BL}, t AS (SELECT *, {_KIND} AS kind, row_number() OVER (PARTITION BY page_number ORDER BY y0, x0, block_no) AS i FROM b), m AS (SELECT t.*, c.block_no AS cap, c.x0 AS cx0, c.y0 AS cy0, c.x1 AS cx1, c.y1 AS cy1 FROM t JOIN t c ON t.page_number = c.page_number WHERE c.kind = 'table' AND t.i > c.i AND t.y0 >= c.y1 - 2 AND {_ALIGNED.format('c', 't')}), g AS (SELECT *, row_number() OVER w AS n, y0 - lag(y1) OVER w AS gap FROM m WINDOW w AS (PARTITION BY page_number, cap ORDER BY i)), l AS (SELECT *, coalesce(greatest(2 * median(gap) OVER (PARTITION BY page_number, cap), 18), 24) AS lim FROM g), s AS (SELECT *, max(CASE WHEN n > 1 AND (gap > lim OR kind IS NOT NULL) THEN 1 ELSE 0 END) OVER (PARTITION BY page_number, cap ORDER BY i) AS stopped FROM l), r AS (SELECT page_number, cap, greatest(0, least(min(x0), any_value(cx0))) AS x0, greatest(0, least(min(y0), any_value(cy0))) AS y0, least(595, greatest(max(x1), any_value(cx1))) AS x1, least(3000, greatest(max(y1), any_value(cy1))) AS y1, count(*) AS n_rows FROM s WHERE stopped = 0 GROUP BY page_number, cap)"
+_TOUCH = "{0}.x1 >= {1}.x0 AND {1}.x1 >= {0}.x0 AND {0}.y1 >= {1}.y0 AND {1}.y1 >= {0}.y0"
+#: Sequential choices as recursive queries: a table, a region or a source at a time, with what was chosen before.
+_FREE = f"""
+WITH RECURSIVE {_FIG}, {_ANCHORED},
+n AS (SELECT *, row_number() OVER (PARTITION BY page_number ORDER BY y0, x0, cap) AS i FROM r WHERE x1 - x0 >= 60 AND y1 - y0 >= 40
+  AND NOT EXISTS (SELECT 1 FROM f WHERE f.page_number = r.page_number AND f.box_no % 3 = 0 AND {_TOUCH.format('f', 'r')})),
+q AS (SELECT DISTINCT page_number, 0::BIGINT AS i, list_slice([struct_pack(cap := cap, x0 := x0, y0 := y0, x1 := x1, y1 := y1)], 1, 0) AS kept FROM n
+  UNION ALL SELECT n.page_number, n.i, CASE WHEN len(list_filter(kept, lambda k: {_TOUCH.format('k', 'n')})) > 0 THEN kept ELSE list_append(kept, struct_pack(cap := n.cap, x0 := n.x0, y0 := n.y0, x1 := n.x1, y1 := n.y1)) END
+  FROM q JOIN n ON n.page_number = q.page_number AND n.i = q.i + 1)
+SELECT page_number, unnest(kept).cap AS cap FROM (SELECT page_number, arg_max(kept, i) AS kept FROM q GROUP BY page_number)
+"""
+_BIND = f"""
+WITH RECURSIVE {_FIG}, {BL}, t AS (SELECT *, {_KIND} AS caption_kind, {_NORM} AS caption FROM b),
+g AS (SELECT *, row_number() OVER (PARTITION BY page_number ORDER BY y0, x0, x1, y1) - 1 AS i FROM f),
+c AS (SELECT g.page_number, g.i, list(struct_pack(away := {_AWAY.format('g', 't')}, block_no := t.block_no, caption := caption, kind := caption_kind) ORDER BY {_AWAY.format('g', 't')}, t.block_no) AS near
+  FROM g JOIN t ON g.page_number = t.page_number WHERE caption_kind IS NOT NULL AND {_ALIGNED.format('g', 't')} AND {_AWAY.format('g', 't')} < 72 GROUP BY ALL),
+m AS (SELECT g.*, near FROM g LEFT JOIN c USING (page_number, i)),
+q AS (SELECT DISTINCT page_number, -1::BIGINT AS i, []::BIGINT[] AS used, NULL::VARCHAR AS kind, NULL::VARCHAR AS caption, 0::DOUBLE AS x0, 0::DOUBLE AS y0 FROM g
+  UNION ALL SELECT page_number, i, CASE WHEN p IS NULL THEN used ELSE list_append(used, p.block_no) END, p.kind, p.caption, x0, y0
+  FROM (SELECT m.page_number, m.i, m.x0, m.y0, used, list_filter(near, lambda z: NOT list_contains(used, z.block_no))[1] AS p FROM q JOIN m ON m.page_number = q.page_number AND m.i = q.i + 1))
+SELECT page_number, i AS ordinal, x0, y0, coalesce(kind, 'figure') AS kind, caption FROM q WHERE i >= 0
+"""
+_PLAIN = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_PROMPT = f"""
+WITH RECURSIVE {SEARCH},
+y AS (SELECT qid, place, kind, page_number, coalesce(caption, '') AS caption, element_id || '.png' AS image, {_PLAIN.format("coalesce(coalesce(nullif(CASE WHEN kind IN ('table', 'figure') THEN summary ELSE text END, ''), summary), '')")} AS body FROM z),
+x AS (SELECT *, CASE WHEN caption <> '' AND NOT contains(body, caption) THEN {_PLAIN.format("caption || chr(10) || body")} ELSE body END AS whole FROM y),
+folded AS (SELECT DISTINCT qid, 0::BIGINT AS n, 2000::BIGINT AS room, '' AS said, []::VARCHAR[] AS images, []::VARCHAR[] AS labels FROM x
+  UNION ALL SELECT qid, n, room - length(part), CASE WHEN n > 1 THEN said || chr(10) || chr(10) ELSE '' END || {_PLAIN.format("'[S' || n || '] (' || kind || coalesce(', page ' || page_number, '') || ')' || chr(10) || part || CASE WHEN sent THEN chr(10) || '" + context.ATTACHED + "' ELSE '' END")},
+    CASE WHEN sent THEN list_append(images, image) ELSE images END, CASE WHEN sent THEN list_append(labels, 'S' || n) ELSE labels END
+  FROM (SELECT folded.qid, folded.n + 1 AS n, room, said, images, labels, kind, page_number, image, kind <> 'text' AND len(images) < 2 AS sent,
+    CASE WHEN length(whole) > room THEN regexp_replace(substr(whole, 1, CAST(room AS INT)), '\\s+$', '') || ' ...' ELSE whole END AS part
+    FROM folded JOIN x ON x.qid = folded.qid AND x.place = folded.n + 1 WHERE room > 0)),
+o AS (SELECT qid, max(n) AS n_blocks, arg_max(said, n) AS said, arg_max(images, n) AS images, arg_max(labels, n) AS labels FROM folded GROUP BY qid)
+SELECT qid, n_blocks, 'SOURCES' || chr(10) || said || CASE WHEN len(labels) > 0 THEN chr(10) || chr(10) || 'Images attached, in this order: ' || array_to_string(labels, ', ') || '.' ELSE '' END || chr(10) || chr(10) || 'QUESTION' || chr(10) || {_PLAIN.format('question')} AS prompt,
+  array_to_string(images, ',') AS images, array_to_string(labels, ',') AS labels FROM o JOIN (SELECT qid, question FROM q) USING (qid)
+"""
 #: What the replies and tables of table_texts hold.
 SPLIT = [("| a | b |\n| 1 | 2 |", "two"), (None, "none"), (None, "The table: see left. In summary: all is well."), (None, "table:\n| a |\nsummary: x"), (None, "Note. TABLE: | a | SUMMARY: x"), ("| a |", "one\nSUMMARY: two")]
 MARKDOWN = ["| a | b |\n  | c | d |", None, None, "| y\n| z |\n| w |", "| a |\n| b |", None]
 _D = f"WITH d AS ({V.DOCUMENTS}), {E_}"
 _AGAIN = "document_id IN ('src1', 'src2', 'src3')"
 SQL = {
+    "scan_documents": "WITH f AS (SELECT 'd' || doc_id || CASE doc_id % 5 WHEN 2 THEN '.txt' WHEN 3 THEN '.PDF' ELSE '.pdf' END AS filename, CASE WHEN doc_id % 4 = 1 THEN '' ELSE '%PDF-1.4 ' END || text AS t FROM documents) SELECT substr(sha256(t), 1, 16) AS document_id, filename, 'file:/in/' || filename AS path, strlen(t) AS length, CASE WHEN lower(filename) LIKE '%.txt' THEN 'wrong suffix' WHEN strlen(t) > 4000 THEN 'too large' WHEN NOT starts_with(t, '%PDF-') THEN 'not a PDF' ELSE 'ok' END AS status FROM f",
     "content_id": "SELECT doc_id, substr(sha256(text), 1, 16) AS document_id FROM documents",
     "retrieval_text": f"WITH {E_} SELECT element_id, {CONTENT} AS content FROM e",
     "tokenize": f"SELECT doc_id, array_to_string({_tokens('text')}, ' ') AS tokens FROM documents",
@@ -461,7 +510,10 @@ SQL = {
     "region_filter": f"WITH {_FIG}, g AS (SELECT *, (x1 - x0) * (y1 - y0) / (595.0 * 842.0) AS ratio FROM f SEMI JOIN documents ON doc_id = page_number) SELECT page_number, box_no, x1, y1 FROM g WHERE x1 - x0 >= 60 AND y1 - y0 >= 40 AND ratio >= 0.012 AND ratio <= 0.95 AND (has_raster OR primitive_count >= 3)",
     "box_enclosure_anti": f"WITH {_FIG}, {BL} SELECT page_number, block_no FROM b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.page_number = b.page_number AND {_INSIDE})",
     "caption_candidates": f"WITH {_FIG}, {BL}, t AS (SELECT *, {_KIND} AS caption_kind FROM b) SELECT f.page_number, f.box_no, t.block_no, CAST({_AWAY.format('f', 't')} AS DOUBLE) AS away, caption_kind FROM f JOIN t ON f.page_number = t.page_number WHERE caption_kind IS NOT NULL AND {_ALIGNED.format('f', 't')} AND {_AWAY.format('f', 't')} < 72",
-    "caption_anchored_tables": f"WITH {BL}, t AS (SELECT *, {_KIND} AS kind, row_number() OVER (PARTITION BY page_number ORDER BY y0, x0, block_no) AS i FROM b), m AS (SELECT t.*, c.block_no AS cap, c.x0 AS cx0, c.y0 AS cy0, c.x1 AS cx1, c.y1 AS cy1 FROM t JOIN t c ON t.page_number = c.page_number WHERE c.kind = 'table' AND t.i > c.i AND t.y0 >= c.y1 - 2 AND {_ALIGNED.format('c', 't')}), g AS (SELECT *, row_number() OVER w AS n, y0 - lag(y1) OVER w AS gap FROM m WINDOW w AS (PARTITION BY page_number, cap ORDER BY i)), l AS (SELECT *, coalesce(greatest(2 * median(gap) OVER (PARTITION BY page_number, cap), 18), 24) AS lim FROM g), s AS (SELECT *, max(CASE WHEN n > 1 AND (gap > lim OR kind IS NOT NULL) THEN 1 ELSE 0 END) OVER (PARTITION BY page_number, cap ORDER BY i) AS stopped FROM l), r AS (SELECT page_number, cap, greatest(0, least(min(x0), any_value(cx0))) AS x0, greatest(0, least(min(y0), any_value(cy0))) AS y0, least(595, greatest(max(x1), any_value(cx1))) AS x1, least(3000, greatest(max(y1), any_value(cy1))) AS y1, count(*) AS n_rows FROM s WHERE stopped = 0 GROUP BY page_number, cap) SELECT * FROM r WHERE x1 - x0 >= 60 AND y1 - y0 >= 40",
+    "caption_anchored_tables": f"WITH {_ANCHORED} SELECT * FROM r WHERE x1 - x0 >= 60 AND y1 - y0 >= 40",
+    "region_anti_overlap": _FREE,
+    "caption_binding": _BIND,
+    "context_blocks": _PROMPT,
     "crop_clip": f"WITH p AS (SELECT *, CASE WHEN is_raster THEN 'figure' ELSE 'table' END AS kind FROM ({V.PRIMS}) WHERE x1 - x0 >= 3 AND y1 - y0 >= 3), k AS (SELECT prim_no, printf('p%04d_%02d_%s.png', page_number, prim_no % 100, kind) AS crop, greatest(x0 - 8, 0) AS x0, greatest(y0 - 8, 0) AS y0, least(x1 + 8, 540) AS x1, least(y1 + 8, 650) AS y1 FROM p) SELECT * FROM k WHERE x1 - x0 >= 1 AND y1 - y0 >= 1",
     "column_split": f"WITH {BL} SELECT *, {_TWO} FROM (SELECT page_number, {_COLS} FROM b GROUP BY page_number)",
     "reading_order": f"WITH {BL}, {_ordered('b')} SELECT page_number, block_no, ord FROM o",

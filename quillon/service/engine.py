@@ -238,6 +238,8 @@ class Engine:
             asked = self.spark.createDataFrame([(0, out["question"], list(document_ids), kinds)], "qid long, question string, document_ids array<string>, kinds array<string>")
             found = self.retrieve(asked, k)
             rows = [] if found is None else [r.asDict() for r in found.collect()]  # k rows at most
+            for r in rows:  # an image counts while its file is there
+                r["image_path"] = r["image_path"] if self._under_images(r["image_path"]) else None
             out["answer"] = NOTHING
             if rows:
                 schema = "qid long, rank int, element_id string, document_id string, kind string, score double, page_number long, caption string, text string, image_path string"
