@@ -33,7 +33,7 @@ K, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
 #: Members of a bucket compared at once, and their shingles; a pair at 0.8 has an estimate under this once in a billion.
-BLOCK, BLOCK_ITEMS, ESTIMATE = 1024, 2_000_000, 0.6
+BLOCK, BLOCK_ITEMS, ESTIMATE = 512, 1_000_000, 0.6
 _MARK = np.uint64((1 << 24) - 1)
 
 
