@@ -10,8 +10,8 @@ the smallest doc_id of their spans.
 
 Identity of a row is (doc_id, hash of its text): any number of texts can share a doc_id, and rows that agree in both get
 equal results. What a part of the texts is asked for or told travels to it as arrays, one row for each part and bucket of
-anchors, so rows in shuffles grow with neither. The occurrences of one anchor that is not part of whole copies meet in
-one task, at about 30 bytes each.
+anchors, so rows in shuffles grow with neither. Of equal spans within 8 MB of texts only those of the smallest doc_id
+travel, the others are settled at once; so of a passage that very many documents hold, few occurrences meet in one task.
 
 Defined cases: null text is empty; texts of fewer than WIDTH bytes stay whole; strings within one document or one
 doc_id don't count; rows with a null doc_id stay whole and remove nothing; an empty table gives an empty result; other
@@ -232,16 +232,35 @@ def _segments(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def known_here(x: dict[str, np.ndarray]) -> np.ndarray:
+    """Occurrences whose whole span a smaller doc_id among those packed together also has: they are settled, and one
+    anchor, however many documents hold it, leaves a task with few occurrences."""
+    order = np.argsort(x["a"])
+    a = x["a"][order]
+    twice = np.append(a[1:] == a[:-1], False)
+    twice[1:] |= twice[:-1].copy()
+    some = order[twice]
+    late = np.zeros(len(a), bool)
+    if len(some):
+        some = some[np.lexsort((x["doc"][some], x["s"][some], x["a"][some]))]
+        edge, of = _segments(x["a"][some], x["s"][some])
+        late[some] = x["doc"][some] > x["doc"][some[edge]][of]
+    return late
+
+
 def anchors(texts: DataFrame, buckets: int) -> DataFrame:
-    """texts(doc_id, key, text) -> rows of PACK: the occurrences by bucket of their anchors."""
+    """texts(doc_id, key, text) -> rows of PACK: the occurrences by bucket of their anchors, and cuts by part."""
 
     def run(batches):
         waiting, size = [], 0
 
         def out():
-            fields = {f: np.concatenate([w.pop(f) for w in waiting]) for f in FIELDS}
-            rows = _packed("at", (fields["a"] % np.uint64(buckets)).astype(np.int32), fields)
+            x = {f: np.concatenate([w.pop(f) for w in waiting]) for f in FIELDS}
             waiting.clear()
+            late = known_here(x)
+            rows = _packed("cut", x["key"][late] % buckets, {f: x[f][late] for f in ("key", "lo", "n")}, ("key", "lo", "n"))
+            x = {f: v[~late] for f, v in x.items()}
+            rows += _packed("at", (x["a"] % np.uint64(buckets)).astype(np.int32), x)
             return [_batch(rows)] if rows else []
 
         for batch in batches:
@@ -265,8 +284,13 @@ def _settled(buckets: int):
 
     def run(batches):
         for bucket, rows in _grouped(batches):
-            x = _joined(rows)
+            settled = [r for r in rows if r[0] == "cut"]
+            if settled:
+                yield _batch(settled)
+            x = _joined([r for r in rows if r[0] == "at"])
             rows.clear()
+            if not len(x["a"]):
+                continue
             x = _sorted(x, "a", "s", "doc")
             edge, of = _segments(x["a"])
             shared = (np.minimum.reduceat(x["doc"], edge) < np.maximum.reduceat(x["doc"], edge))[of]
