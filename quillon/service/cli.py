@@ -45,12 +45,12 @@ def shown_answer(found: dict) -> str:
     return "\n".join(lines)
 
 
-def shown_report(found: dict) -> str:
-    lines = []
-    for r in found["reports"]:
-        counts = "known already" if r["skipped"] else f"{r['pages']} pages, {r['text_chunks']} text, {r['tables']} tables, {r['figures']} figures"
-        lines += [f"{r['filename']} {r['document_id']}: {counts}", *(f"  {w}" for w in r["warnings"])]
-    return "\n".join([*lines, f"{found['n_documents']} documents in {found['elapsed']} s"])
+def shown_reports(rows):
+    """Lines about each file of an ingest."""
+    for r in rows:
+        counts = "known already" if r.skipped else "failed" if r.failed else f"{r.pages} pages, {r.text_chunks} text, {r.tables} tables, {r.figures} figures"
+        yield f"{r.filename} {r.document_id}: {counts}"
+        yield from (f"  {w}" for w in r.warnings)
 
 
 def main(args: list[str] | None = None, engine: Engine | None = None) -> int:
@@ -60,7 +60,10 @@ def main(args: list[str] | None = None, engine: Engine | None = None) -> int:
         engine = engine or Engine(SparkSession.builder.appName("quillon").getOrCreate(), Settings.load(file=".env"))
         if given.command == "ingest":
             tell = lambda done, total: print(f"step {done} of {total}", file=sys.stderr)
-            print(shown_report(engine.ingest(given.folder, given.force, tell, given.backend)))
+            found = engine.ingest(given.folder, given.force, tell, given.backend)
+            for line in shown_reports(engine.reports(found).toLocalIterator()):
+                print(line)
+            print(f"{found['n_documents']} documents in {found['elapsed']} s")
         elif given.command == "ask":
             print(shown_answer(engine.ask(given.question, given.k, given.document, given.kind)))
         elif given.command == "documents":

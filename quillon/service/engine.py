@@ -145,11 +145,11 @@ class Engine:
             raise InvalidInput(f"no backend {name}; there are " + ", ".join(sorted(self.backends)))
         raw = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").load(folder)
         status = files.checked(raw, s.max_upload_mb << 20)
-        bad = [(r.filename, r.status) for r in status.filter("status <> 'ok'").select("filename", "status").orderBy("filename").toLocalIterator()]
+        bad = status.filter("status <> 'ok'").select(F.lit("").alias("document_id"), "filename", F.col("status").alias("error"))
         wanted, known = files.documents_of(status).drop("n_files"), self.store.table("documents")
-        skipped = []
+        skipped = wanted.limit(0)
         if known is not None and not force:
-            skipped = [(r.document_id, r.filename) for r in wanted.join(known.select("document_id"), "document_id", "left_semi").orderBy("filename").collect()]
+            skipped = wanted.join(known.select("document_id"), "document_id", "left_semi")
             wanted = wanted.join(known.select("document_id"), "document_id", "left_anti")
         progress(0, 4)
 
@@ -184,22 +184,30 @@ class Engine:
         documents = self.spark.read.parquet(f"{stage}/documents")
         progress(3, 4)
 
-        told = [r.asDict() for r in report_rows(documents, elements, extract.warnings_of(parsed)).orderBy("filename").collect()]
-        empty = parsed.join(documents.select("document_id"), "document_id", "left_anti").select("filename", F.coalesce("error", F.lit("nothing could be read from it")).alias("error"))
-        failed = [*bad, *((r.filename, r.error) for r in empty.orderBy("filename").collect())]
-        if told:
+        told = report_rows(documents, elements, extract.warnings_of(parsed)).withColumns({"skipped": F.lit(False), "failed": F.lit(False)})
+        empty = parsed.join(documents.select("document_id"), "document_id", "left_anti").select(F.lit("").alias("document_id"), "filename", F.coalesce("error", F.lit("nothing could be read from it")).alias("error"))
+        blank = {"pages": F.lit(0), **{n: F.lit(0).cast("long") for n in ("text_chunks", "tables", "figures", "total")}, "any_visual": F.lit(False)}
+        lines = F.expr("cast(array() as array<string>)")
+        passed = skipped.select("document_id", "filename").withColumns({**blank, "warnings": lines, "skipped": F.lit(True), "failed": F.lit(False)})
+        failed = bad.unionByName(empty).withColumns({**blank, "warnings": F.array("error"), "skipped": F.lit(False), "failed": F.lit(True)}).drop("error")
+        path = f"{self.folder}/reports/{uuid.uuid4().hex}"
+        told.unionByName(passed).unionByName(failed).write.parquet(path)
+        counts = self.spark.read.parquet(path).agg(F.count_if(~F.col("skipped") & ~F.col("failed")).alias("n"), F.count_if("skipped").alias("s"), F.count_if("failed").alias("f"), F.sum("total").alias("e")).first()
+        if counts.n:
             try:
                 self.store.add(documents, elements, vectors, replace=True)
             except ValueError as error:
                 raise Misconfigured(str(error)) from error
+        n_bad = bad.count()
         self.store._fs.delete(self.store._path(stage), True)
         progress(4, 4)
         elapsed = round(time.time() - began, 2)
-        report = {"n_documents": len(told), "n_elements": sum(r["total"] for r in told), "n_bad_files": len(bad), "n_without_text": len(failed) - len(bad), "n_skipped": len(skipped), "elapsed": elapsed}
-        blank = {"document_id": "", "pages": 0, "text_chunks": 0, "tables": 0, "figures": 0, "total": 0, "skipped": False, "warnings": []}
-        report["reports"] = [r | {"skipped": False} for r in told] + [blank | {"document_id": d, "filename": f, "skipped": True} for d, f in skipped] + [blank | {"filename": f, "warnings": [e]} for f, e in failed]
-        self.log.info("took in %s documents, %s elements, in %s s", report["n_documents"], report["n_elements"], elapsed)
-        return report
+        self.log.info("took in %s documents, %s elements, in %s s", counts.n, counts.e or 0, elapsed)
+        return {"n_documents": counts.n, "n_elements": counts.e or 0, "n_bad_files": n_bad, "n_without_text": counts.f - n_bad, "n_skipped": counts.s, "reports": path, "elapsed": elapsed}
+
+    def reports(self, report: dict) -> DataFrame:
+        """A row for each file of an ingest, by name: document_id, counts, warnings, whether it was known already or failed."""
+        return self.spark.read.parquet(report["reports"]).orderBy("filename")
 
     def submit_ingest(self, folder: str, force: bool = False, backend: str | None = None) -> Job:
         """ingest in the background; ask job() how far it is."""

@@ -55,8 +55,10 @@ def test_engine(spark, tmp_path, capsys):
     row = e.documents().first()
     assert (row.filename, row.pages, row.element_count) == ("a.pdf", 2, report["n_elements"])
     again = e.ingest(str(folder))
-    assert (again["n_documents"], again["n_skipped"]) == (0, 1) and [(r["filename"], r["skipped"]) for r in again["reports"]][0] == ("a.pdf", True)
-    assert [(r["filename"], r["warnings"]) for r in report["reports"]][1:] == [("c.pdf", ["not a PDF"]), ("d.pdf", ["nothing could be read from it"])]
+    assert (again["n_documents"], again["n_skipped"]) == (0, 1) and [(r.filename, r.skipped) for r in e.reports(again).collect()][0] == ("a.pdf", True)
+    told = e.reports(report).collect()
+    assert [(r.filename, r.warnings, r.failed) for r in told][1:] == [("c.pdf", ["not a PDF"], True), ("d.pdf", ["nothing could be read from it"], True)]
+    assert cli.main(["ingest", str(folder)], e) == 0 and "known already" in capsys.readouterr().out
     assert (tmp_path / f"data/sources/{row.document_id}.pdf").read_bytes() == (folder / "a.pdf").read_bytes()
     assert e.ingest(str(folder), force=True)["n_elements"] == e.documents().first().element_count
     found = e.ask("Which beta decay emits an electron?", k=2)
@@ -113,8 +115,8 @@ def test_engine_with_models(spark, tmp_path):
     folder.mkdir()
     (folder / "r.pdf").write_bytes(pdf(chart + table + text(50, 400, "Prose about bearings, gears and their oil."), None))
     report = e.ingest(str(folder))
-    (told,) = report["reports"]
-    assert (told["pages"], told["text_chunks"], told["tables"], told["figures"], told["any_visual"]) == (2, 1, 1, 1, True) and told["warnings"][0].startswith("page 2: ")
+    (told,) = e.reports(report).collect()
+    assert (told.pages, told.text_chunks, told.tables, told.figures, told.any_visual) == (2, 1, 1, 1, True) and told.warnings[0].startswith("page 2: ")
     stored = {r.kind: r for r in e.store.table("elements").collect()}
     assert stored["figure"].summary == "A chart of yields." and stored["table"].table_markdown == "| year | rate |\n| 2019 | 1.5 |"
     assert open(e.image_path(stored["figure"].element_id), "rb").read() == b"PNG of page 1"
@@ -135,7 +137,7 @@ def test_engine_with_models(spark, tmp_path):
     with pytest.raises(errors.UpstreamError):
         e.ask("anything")
     assert errors.status_of(ModelError("x")) == 502
-    e.delete(told["document_id"])
+    e.delete(told.document_id)
     assert not list((tmp_path / "data/images").rglob("*.png"))
 
 
