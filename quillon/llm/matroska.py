@@ -182,6 +182,34 @@ def read(data: bytes, track: int = 1) -> tuple[bytes, list[tuple], list[tuple]]:
     return b"".join(data[p[2] : p[2] + p[3]] for p in own), own, cues
 
 
+def parts(data: bytes):
+    """(name, start, end, start of the segment's body) of the file's elements and the segment's, without entering them."""
+    at = segment = 0
+    while at < len(data):
+        name, body, _ = _vint(data, at, True)
+        size, body, unknown = _vint(data, body, False)
+        if name == SEGMENT:
+            at = segment = body
+            continue
+        stop = len(data) if unknown else body + size
+        yield name, at, stop, segment
+        at = stop
+
+
+def seek(data: bytes, time: int, track: int = 1) -> list[tuple]:
+    """Packets of a track from a time on. The last cue at or before it names the cluster from which the file is read;
+    clusters before it aren't. Without such a cue all of the file is."""
+    start, found = 0, -1
+    for name, at, stop, segment in parts(data):
+        if name == CUES:
+            for when, of, cluster in parse(data[at:stop])[1]:
+                if of == track and found < when <= time:
+                    start, found, before = segment + cluster, when, segment
+    shift = start - before if start else 0
+    packets = parse(data[start:])[0]
+    return [(t, when, a + start, n, key, cluster + shift, lace, i) for t, when, a, n, key, cluster, lace, i in packets if t == track and when >= time]
+
+
 PACKETS = "track int, timestamp long, start long, size long, keyframe boolean, cluster long, lacing int, in_lace int, cue boolean"
 
 

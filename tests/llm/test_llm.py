@@ -375,6 +375,21 @@ def test_matroska_round_trip(text):
     assert matroska.describe(text)[3] == zlib.crc32(payload[-16:])
 
 
+def test_matroska_seeks_by_cues(monkeypatch):
+    payload = matroska.payload_of("".join(f"{i} words " for i in range(20000)))[1]
+    data = matroska.write(payload)
+    every, cues = matroska.parse(data)
+    assert len(cues) > 3
+    read = []
+    whole = matroska.parse
+    monkeypatch.setattr(matroska, "parse", lambda d: read.append(len(d)) or whole(d))
+    for time in (0, 1, cues[2][0] - 1, cues[2][0], cues[2][0] + 30, every[-1][1], every[-1][1] + 1):
+        read.clear()
+        assert matroska.seek(data, time) == [p for p in every if p[1] >= time]
+        assert read[-1] <= len(data) * (1 - max(0, time // cues[1][0] - 1) / len(cues)) and len(read) == 2
+    assert matroska.seek(data, 0, track=2) == []
+
+
 def test_matroska_lacing_and_broken_files(spark):
     frames = [b"a" * 3, b"b" * 300, b"c" * 7, b"d" * 260]
     for kind in (1, 3):
