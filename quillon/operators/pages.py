@@ -18,6 +18,7 @@ ELEMENT = ["element_id", "document_id", "kind", "page_number", "caption", "text"
 def page_regions(pages: DataFrame, blocks: DataFrame, prims: DataFrame, gap: float = 14.0, low: float = 0.012, high: float = 0.95) -> DataFrame:
     """(document_id, page_number, ordinal, kind, caption, sides): clusters of primitives, and tables that only a caption shows."""
     none = F.lit(None).cast("string")
+    prims = prims.join(pages.select(*PAGE), PAGE, "left_semi")  # what lies on no page isn't clustered
     found = geometry.regions(geometry.cluster_boxes(prims, gap), pages, low, high)
     found = found.select(*PAGE, *SIDES, F.lit("figure").alias("kind"), none.alias("caption"), F.lit(False).alias("from_caption"))
     tables = geometry.free_tables(geometry.anchored_tables(blocks, pages), found)
