@@ -3,10 +3,12 @@
 Texts equal to an earlier document's are cut whole (they share every string) and leave the work. In the others, every
 window of WIDTH bytes has an anchor: the q-gram of least hash in it, so equal windows have equal anchors. Windows with
 one anchor occurrence lie side by side and form a span. Occurrences meet by anchor, packed as arrays. Spans whose anchor
-occurs in one document only can't repeat; where all spans of an anchor are equal, the smallest doc_id has them first.
-Of the other anchors each distinct span is fetched once, and the suffixes of these spans are sorted by bucket-pointer
-refinement (see sorted_suffixes). Neighbours in that order that agree in WIDTH bytes are one string; its first holder is
-the smallest doc_id of their spans.
+occurs in one document only can't repeat. Two spans share a window only if they agree in the HALF bytes before or after
+their anchor; an occurrence carries a mark of either. A span that shares no mark with another of its anchor is settled:
+the smallest doc_id that has it has its windows first. Each of the other distinct spans is fetched once, and their
+suffixes are sorted by bucket-pointer refinement (see sorted_suffixes). Neighbours in that order that agree in WIDTH
+bytes are one string; its first holder is the smallest doc_id of their spans. So what is stored and fetched follows the
+repeats, not the anchors that documents of one vocabulary share by chance, which grow faster than the table.
 
 Identity of a row is (doc_id, hash of its text): any number of texts can share a doc_id, and rows that agree in both get
 equal results. What a part of the texts is asked for or told travels to it as arrays, one row for each part and bucket of
@@ -32,6 +34,7 @@ from quillon.llm.common import drop_tables, join_sized, shared_table, spread
 
 WIDTH, GRAM = 50, 16
 REACH = WIDTH - GRAM
+HALF = REACH // 2
 #: Bytes of spans whose suffixes are sorted together (more if one anchor has more); bytes of texts, and of one text,
 #: scanned at once: a scan holds about 120 bytes for each of them.
 SORTED, SCAN, PART = 2 << 20, 1 << 19, 1 << 20
@@ -44,12 +47,12 @@ COPIES = 200_000
 
 
 def spans_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, span hash, first window, number of windows, place of the anchor) of the spans of texts that lie
-    one after the other."""
+    """(text, anchor hash, span hash, first window, number of windows, place of the anchor, marks of the HALF bytes before
+    and after the anchor or 0) of the spans of texts that lie one after the other."""
     views = REACH + 1
     n = len(raw) - GRAM + 1
     if n < views:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(8))
     at = np.arange(n)
     sums = prefix(raw)
     gram = mixed(between(sums, at, at + GRAM))
@@ -72,7 +75,11 @@ def spans_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.bincount(groups[inside], minlength=len(first))
     place = anchor[first] - first
     whole = mixed(between(sums, first, first + count + WIDTH - 1) + count.astype(np.uint64) * np.uint64(131) + place.astype(np.uint64), 4)
-    return text[first], gram[anchor[first]], whole, first - offsets[text[first]], count, place
+    marks = []
+    for begin, held in ((anchor[first] - HALF, place >= HALF), (anchor[first] + GRAM, count + WIDTH - 1 - place - GRAM >= HALF)):
+        begin = np.where(held, begin, 0)
+        marks.append(np.where(held, 1 + mixed(between(sums, begin, begin + HALF), 8) % np.uint64(65535), 0).astype(np.uint16))
+    return text[first], (mixed(gram[anchor[first]], 9) >> np.uint64(32)).astype(np.uint32), whole, first - offsets[text[first]], count, place, *marks
 
 
 def _codes(raw: np.ndarray) -> np.ndarray:
@@ -153,12 +160,11 @@ def first_holders(spans: list[bytes], docs: np.ndarray, counts: np.ndarray) -> n
 
 def repeating(anchor: np.ndarray, spans: list[bytes], places: np.ndarray) -> np.ndarray:
     """Spans that may share a window with another of their anchor: half of what a window has beside it must agree."""
-    half = REACH // 2
     out = np.zeros(len(spans), bool)
     for side in (0, 1):
-        key = np.array([hash((a, s[p + GRAM : p + GRAM + half] if side else s[max(0, p - half) : p])) for a, s, p in zip(anchor.tolist(), spans, places.tolist(), strict=True)], np.int64)
+        key = np.array([hash((a, s[p + GRAM : p + GRAM + HALF] if side else s[max(0, p - HALF) : p])) for a, s, p in zip(anchor.tolist(), spans, places.tolist(), strict=True)], np.int64)
         _, again, n = np.unique(key, return_inverse=True, return_counts=True)
-        long = np.array([len(s) - p - GRAM if side else p for s, p in zip(spans, places.tolist(), strict=True)]) >= half
+        long = np.array([len(s) - p - GRAM if side else p for s, p in zip(spans, places.tolist(), strict=True)]) >= HALF
         out |= (n[again] > 1) & long
     return out
 
@@ -176,12 +182,18 @@ def _parts(raw: np.ndarray, offsets: np.ndarray):
 
 
 #: What is known of an occurrence: anchor, hash of its span, doc_id and key of its row, first window, number of windows,
-#: place of the anchor in the span. A row's part is the remainder of its key.
-FIELDS = {"a": np.uint64, "s": np.uint64, "doc": np.int64, "key": np.int64, "lo": np.uint32, "n": np.uint8, "p": np.uint8}
+#: place of the anchor in the span, marks of what stands before and after the anchor. A row's part is the remainder of its key.
+FIELDS = {"a": np.uint32, "s": np.uint64, "doc": np.int64, "key": np.int64, "lo": np.uint32, "n": np.uint8, "p": np.uint8, "l": np.uint16, "r": np.uint16}
+#: Of these the high bytes are mostly zeros: they are packed byte by byte, all first bytes first, which compresses.
+PLANES = {f: np.dtype(FIELDS[f]).itemsize for f in ("doc", "lo")}
 PACK = "kind string, grp int, " + ", ".join(f"{f} binary" for f in FIELDS) + ", data binary"
 NAMES = ["kind", "grp", *FIELDS, "data"]
 
 
+def _bytes_of(field: str, x: np.ndarray) -> bytes:
+    return (x.view(np.uint8).reshape(-1, PLANES[field]).T if field in PLANES else x).tobytes()
+
+
 def _packed(kind: str, group: np.ndarray, fields: dict[str, np.ndarray], only: tuple[str, ...] = tuple(FIELDS)) -> list[tuple]:
     """Rows of PACK: the occurrences of each group, as arrays of bytes."""
     if not len(group):
@@ -190,7 +202,7 @@ def _packed(kind: str, group: np.ndarray, fields: dict[str, np.ndarray], only: t
     edge = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
     held = {f: np.asarray(fields[f])[order].astype(FIELDS[f]) for f in only}
     ends = [*edge[1:].tolist(), len(order)]
-    return [(kind, int(group[order[a]]), *(held[f][a:b].tobytes() if f in held else None for f in FIELDS), None) for a, b in zip(edge.tolist(), ends, strict=True)]
+    return [(kind, int(group[order[a]]), *(_bytes_of(f, held[f][a:b]) if f in held else None for f in FIELDS), None) for a, b in zip(edge.tolist(), ends, strict=True)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -222,7 +234,13 @@ def _sorted(x: dict[str, np.ndarray], *keys: str) -> dict[str, np.ndarray]:
 
 
 def _joined(rows: list[tuple]) -> dict[str, np.ndarray]:
-    return {f: np.concatenate([np.frombuffer(r[2 + k] or b"", t) for r in rows]) if rows else np.zeros(0, t) for k, (f, t) in enumerate(FIELDS.items())}
+    out = {}
+    for k, (f, t) in enumerate(FIELDS.items(), 2):
+        held = [r[k] for r in rows if r[k]]
+        if f in PLANES:
+            held = [np.frombuffer(b, np.uint8).reshape(PLANES[f], -1).T.tobytes() for b in held]
+        out[f] = np.frombuffer(b"".join(held), t)
+    return out
 
 
 def _segments(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,15 +278,15 @@ def anchors(texts: DataFrame, buckets: int) -> DataFrame:
             late = known_here(x)
             rows = _packed("cut", x["key"][late] % buckets, {f: x[f][late] for f in ("key", "lo", "n")}, ("key", "lo", "n"))
             x = {f: v[~late] for f, v in x.items()}
-            rows += _packed("at", (x["a"] % np.uint64(buckets)).astype(np.int32), x)
+            rows += _packed("at", (x["a"] % np.uint32(buckets)).astype(np.int32), x)
             return [_batch(rows)] if rows else []
 
         for batch in batches:
             ids, keys = (batch.column(k).to_numpy() for k in range(2))
             for i, raw, offsets in slices(batch.column(2), SCAN):
                 for part, edges, shift in _parts(raw, offsets):
-                    text, a, s, lo, n, p = spans_of(part, edges)
-                    waiting.append({"a": a, "s": s, "doc": ids[i + text], "key": keys[i + text], "lo": (lo + shift).astype(np.uint32), "n": n.astype(np.uint8), "p": p.astype(np.uint8)})
+                    text, a, s, lo, n, p, l, r = spans_of(part, edges)  # noqa: E741
+                    waiting.append({"a": a, "s": s, "doc": ids[i + text], "key": keys[i + text], "lo": (lo + shift).astype(np.uint32), "n": n.astype(np.uint8), "p": p.astype(np.uint8), "l": l, "r": r})
                 size += len(raw)
                 if size >= PACKED:
                     yield from out()
@@ -279,6 +297,19 @@ def anchors(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.select("doc_id", "key", "text").mapInArrow(run, PACK)
 
 
+def may_repeat(x: dict[str, np.ndarray], least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Distinct spans that share a mark with another one of their anchor, if not all of these are one document's. least and
+    most: the smallest and the largest doc_id that has each."""
+    out = np.zeros(len(least), bool)
+    for f in ("l", "r"):
+        held = np.flatnonzero(x[f])
+        if len(held):
+            order = held[np.lexsort((x[f][held], x["a"][held]))]
+            edge, of = _segments(x["a"][order], x[f][order])
+            out[order] |= ((np.bincount(of) > 1) & (np.minimum.reduceat(least[order], edge) < np.maximum.reduceat(most[order], edge)))[of]
+    return out
+
+
 def _settled(buckets: int):
     """Occurrences of a bucket -> cuts of what is settled, spans to ask for, and the occurrences that wait for them."""
 
@@ -297,14 +328,14 @@ def _settled(buckets: int):
             x = {f: v[shared] for f, v in x.items()}
             if not len(x["a"]):
                 continue
-            anchor, of_anchor = _segments(x["a"])
             span, of_span = _segments(x["a"], x["s"])
-            several = (np.bincount(of_anchor[span]) > 1)[of_anchor]
-            later = ~several & (x["doc"] > x["doc"][span][of_span])
+            least, most = x["doc"][span], x["doc"][np.append(span[1:], len(x["a"])) - 1]
+            again = may_repeat({f: x[f][span] for f in ("a", "l", "r")}, least, most)
+            later = ~again[of_span] & (x["doc"] > least[of_span])
             out = _packed("cut", x["key"][later] % buckets, {f: v[later] for f, v in x.items()}, ("key", "lo", "n"))
-            ask = span[several[span]]
-            out += _packed("ask", x["key"][ask] % buckets, {f: v[ask] for f, v in x.items()})
-            wait = np.flatnonzero(several)
+            ask = span[again]
+            out += _packed("ask", x["key"][ask] % buckets, {f: v[ask] for f, v in x.items()}, ("a", "s", "doc", "key", "lo", "n", "p"))
+            wait = np.flatnonzero(again[of_span])
             out += _packed("at", np.full(len(wait), bucket), {f: v[wait] for f, v in x.items()}, ("a", "s", "doc", "key", "lo"))
             if out:
                 yield _batch(out)
@@ -329,14 +360,14 @@ def _fetched(buckets: int):
             if not data:
                 continue
             at = np.concatenate(found)
-            group = (x["a"][at] % np.uint64(buckets)).astype(np.int32)
+            group = (x["a"][at] % np.uint32(buckets)).astype(np.int32)
             place = np.argsort(group, kind="stable")
             edge, _ = _segments(group[place])
             out = []
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(place)], strict=True):
                 mine = place[a:b]
                 held = {f: x[f][at[mine]] for f in ("a", "s", "doc", "n", "p")}
-                out.append(("span", int(group[mine[0]]), *(held[f].tobytes() if f in held else None for f in FIELDS), b"".join([data[k] for k in mine.tolist()])))
+                out.append(("span", int(group[mine[0]]), *(_bytes_of(f, held[f]) if f in held else None for f in FIELDS), b"".join([data[k] for k in mine.tolist()])))
             yield _batch(out)
 
     return run

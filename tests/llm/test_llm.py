@@ -196,6 +196,21 @@ def test_suffix_dedup_against_brute_force(spark, rows):
     assert sorted(map(tuple, out), key=str) == repeated_bytes(rows)
 
 
+def test_spans_that_share_an_anchor_only_are_not_fetched(spark, monkeypatch):
+    """Texts of one vocabulary share anchors by chance, the more the larger a table; stored and fetched is what can repeat."""
+    rng = np.random.default_rng(17)
+    words = ["".join(rng.choice(list("abcdefgh"), 30)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words, 12))) for i in range(100)]
+    rows += [(100 + i, rows[i][1][40:200] + str(i)) for i in range(5)]
+    tables, write = {}, suffixes.shared_table
+    monkeypatch.setattr(suffixes, "shared_table", lambda df, name: tables.setdefault(name, write(df, name)))
+    out = suffixes.query(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out), key=str) == repeated_bytes(rows)
+    bytes_of = {r.kind: r.n for r in tables["anchors"].groupBy("kind").agg(F.sum(F.octet_length("s")).alias("n")).collect()}
+    spans = sum(len(t) for _, t in rows) / 18
+    assert 0 < bytes_of["ask"] / 8 < spans / 10 and bytes_of["at"] / 8 < spans / 10
+
+
 def test_suffixes_are_sorted():
     """Pointers order all suffixes of spans of several documents as their bytes do, as far as windows reach."""
     rng = np.random.default_rng(9)
