@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillon.llm.bytehash import between, mixed, prefix, slices
-from quillon.llm.common import spread
+from quillon.llm.common import lean, spread
 
 #: One cut in about this many bytes; bytes of texts that are encoded together.
 CHUNK, SLICE = 512, 1 << 20
@@ -330,7 +330,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds[: len(names) - 1], strict=False))], names)
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInArrow(lean(run), schema)
 
 
 def query(spark, docs: DataFrame, path: str | None = None) -> DataFrame:

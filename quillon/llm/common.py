@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 _written: list[str] = []
+#: Rows that go to a Python worker at once where whole texts or signatures do: both sides hold a batch, some of them twice.
+BATCH = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,18 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back. Cuts lineage: a lost executor costs a re-read, not a re-run.
 
-    Spark is asked to drop the job's shuffle files when it ends, so that two steps' files are not on disk together."""
+    Spark is asked to drop the job's shuffle files when it ends, so that two steps' files are not on disk together.
+    batch: rows that go to a Python worker at once meanwhile."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
+    before, rows = spark.conf.get(_CLEANUP, "false"), spark.conf.get(_ROWS)
     spark.conf.set(_CLEANUP, "true")
+    if batch:
+        spark.conf.set(_ROWS, batch)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+        spark.conf.set(_ROWS, rows)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -73,6 +82,26 @@ def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", most: i
     return big.join(F.broadcast(small) if n <= most else small, on, how)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: Spark keeps Python workers, with all they ever took, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """run, a function over batches, that gives back memory after each batch."""
+
+    def trimmed(batches):
+        for out in run(batches):
+            yield out
+            out = None
+            give_back()
+
+    return trimmed
+
+
 def free(df: DataFrame, name: str) -> str:
     """name, or a longer one that no column of df has."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bytehash import mixed, shingles, slices, word_hashes
-from quillon.llm.common import drop_tables, shared_table, spread
+from quillon.llm.common import BATCH, drop_tables, give_back, lean, shared_table, spread
 from quillon.llm.components import components
 
 K, LEAST = 5, 0.8
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, k: int = K, weights: str = "count") -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(unit), lists, pa.array([c.tobytes() for c in cells], pa.binary())], ["doc_id", "th", "node", "node2", "n", "unit", "bands", "sig"])
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    return spread(texts).mapInArrow(run, f"doc_id {kind}, th long, node long, node2 long, n long, unit boolean, bands array<long>, sig binary")
+    return spread(texts).mapInArrow(lean(run), f"doc_id {kind}, th long, node long, node2 long, n long, unit boolean, bands array<long>, sig binary")
 
 
 def node_texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def shingle_sets(texts: DataFrame, k: int, weights: str) -> DataFrame:
                     rates.append(b"" if (rate == 1).all() else rate.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary()), pa.array(rates, pa.binary())], ["node", "items", "rates"])
 
-    return texts.mapInArrow(run, "node long, items binary, rates binary")
+    return texts.mapInArrow(lean(run), "node long, items binary, rates binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, least: float, weights: str) -> DataFrame:
@@ -166,7 +166,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, least:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["u", "v"])
 
     both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(lean(run), "u long, v long")
 
 
 def _compare(least: float):
@@ -208,6 +208,8 @@ def _compare(least: float):
                     us.append(node[p])
                     vs.append(node[q])
                     group[group == group[q]] = group[p]
+        items = rates = sig = bands = None
+        give_back()
         return pa.table({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
     return run
@@ -216,7 +218,7 @@ def _compare(least: float):
 def classes(docs: DataFrame, k: int = K, least: float = LEAST, weights: str = "count") -> DataFrame:
     """docs(doc_id, text) -> a row for each row: doc_id, th (hash of its text), root (key of its class), class_id, n_shingles."""
     docs = docs.select("doc_id", "text")
-    signed = shared_table(signatures(docs, k, weights), "signatures")
+    signed = shared_table(signatures(docs, k, weights), "signatures", BATCH)
     least_doc = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n", "unit", "bands", "sig")).alias("r")
     nodes = shared_table(signed.groupBy("node", "node2").agg(least_doc).select("node", "node2", "r.*").drop("none"), "nodes")
     banded = nodes.filter("n > 0").select("node", "n", "unit", F.posexplode("bands").alias("band", "h"))
@@ -225,8 +227,9 @@ def classes(docs: DataFrame, k: int = K, least: float = LEAST, weights: str = "c
     pairs = members.select(F.col("node").alias("u"), F.col("leader.node").alias("v"), F.col("n").alias("a"), F.col("leader.n").alias("b"), (F.col("unit") & F.col("leader.unit")).alias("unit"))
     pairs = pairs.filter((F.col("u") != F.col("v")) & (~F.col("unit") | (F.least("a", "b") >= least * F.greatest("a", "b"))))
     pairs = shared_table(pairs.select("u", "v").distinct(), "pairs")
-    links = components(verified(pairs, docs, nodes, k, least, weights))
-    drop_tables(docs.sparkSession, pairs)
+    sure = shared_table(verified(pairs, docs, nodes, k, least, weights), "links", BATCH)
+    links = components(sure)
+    drop_tables(docs.sparkSession, pairs, sure)
 
     # Buckets that the links so far leave in several components.
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -235,12 +238,12 @@ def classes(docs: DataFrame, k: int = K, least: float = LEAST, weights: str = "c
     open_ = split.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("lo < hi").select("band", "h", "size", "total")
     wanted = split.join(open_, ["band", "h"], "left_semi").select("node").distinct()
     sets = shingle_sets(node_texts(wanted, docs, nodes), k, weights).join(nodes.select("node", "sig", "bands"), "node")
-    sets = shared_table(sets, "open-sets")
+    sets = shared_table(sets, "open-sets", BATCH)
     rest = split.join(open_, ["band", "h"]).withColumn("blocks", F.expr(f"1 + greatest((size - 1) div {BLOCK}, total div {BLOCK_ITEMS})"))
     rest = rest.withColumns({"sub": F.expr("pmod(xxhash64(node), blocks)"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
     rest = rest.withColumns({"bi": F.least("sub", "other"), "bj": F.greatest("sub", "other")})
     rest = rest.join(sets, "node").select("band", "h", "bi", "bj", "node", "comp", "n", "sub", "sig", "bands", "items", "rates")
-    more = shared_table(rest.groupBy("band", "h", "bi", "bj").applyInArrow(_compare(least), "u long, v long"), "more-links")
+    more = shared_table(rest.groupBy("band", "h", "bi", "bj").applyInArrow(_compare(least), "u long, v long"), "more-links", BATCH)
     links = components(more.union(links))
     drop_tables(docs.sparkSession, members, split, sets)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import free, shared_table, spread
+from quillon.llm.common import free, lean, shared_table, spread
 
 WINDOW, STRIDE = 48, 36
 #: Bounds on the training sample.
@@ -333,7 +333,7 @@ def scored(docs: DataFrame, model: Network | float, name: str = "score") -> Data
             found.append(scorer.score(texts) if texts else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], [*batch.schema.names, name])
 
-    return spread(docs).mapInArrow(run, schema)
+    return spread(docs).mapInArrow(lean(run), schema)
 
 
 def query(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:

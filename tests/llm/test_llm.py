@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("quillon.llm")
-from quillon.llm import ann, bpe, licenses, linededup, matroska, mixing, neardup, secrets, suffixes, toxicity, trigrams  # noqa: E402
+from quillon.llm import ann, bpe, common, licenses, linededup, matroska, mixing, neardup, secrets, suffixes, toxicity, trigrams  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, score double, _lines string"
 LONG = " ".join(f"word{i % 977} x{i}" for i in range(6000))
@@ -211,6 +211,19 @@ def test_spans_that_share_an_anchor_only_are_not_fetched(spark, monkeypatch):
     assert 0 < bytes_of["ask"] / 8 < spans / 10 and bytes_of["at"] / 8 < spans / 10
 
 
+def test_batches_of_texts_are_small(spark):
+    """A worker that is given texts or signatures holds few rows at once; the session's setting is as it was afterwards."""
+    rows = spark.conf.get(common._ROWS)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    df = spark.range(5000).coalesce(1).mapInArrow(common.lean(run), "n long")
+    assert [r.n for r in common.shared_table(df, "batches", common.BATCH).collect()] == [common.BATCH] * 5
+    assert spark.conf.get(common._ROWS) == rows and [r.n for r in common.shared_table(df, "batches").collect()] == [5000]
+
+
 def test_suffixes_are_sorted():
     """Pointers order all suffixes of spans of several documents as their bytes do, as far as windows reach."""
     rng = np.random.default_rng(9)
