@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import free, lean, shared_table, spread
+from quillon.llm.common import free, give_back, lean, shared_table, spread
 
 WINDOW, STRIDE = 48, 36
 #: Bounds on the training sample.
@@ -312,7 +312,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | float:
     rows = training_rows(docs, labels)
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    model = fit([r.text for r in rows], [r.toxic for r in rows])
+    rows = None
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Network | float, name: str = "score") -> DataFrame:

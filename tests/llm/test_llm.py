@@ -224,6 +224,22 @@ def test_batches_of_texts_are_small(spark):
     assert spark.conf.get(common._ROWS) == rows and [r.n for r in common.shared_table(df, "batches").collect()] == [5000]
 
 
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """After a step the driver returns garbage and freed native memory, but not after each of many quick steps."""
+    trim, trims = common._trim, []
+    monkeypatch.setattr(common, "_trim", lambda s: trims.append(trim(s)))
+    monkeypatch.setattr(common, "HEAP_SHARE", 0)
+    monkeypatch.setattr(common, "_relieved", float("-inf"))
+    gateway, runtime = spark.sparkContext._gateway, spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    held = [gateway.new_array(gateway.jvm.long, 8 << 20) for _ in range(16)]
+    full = runtime.totalMemory()
+    del held
+    assert [r.id for r in common.shared_table(spark.range(3), "few").orderBy("id").collect()] == [0, 1, 2]
+    assert runtime.totalMemory() < full - (256 << 20)
+    common.shared_table(spark.range(3), "few")
+    assert len(trims) == 1 and isinstance(trims[0], bool)
+
+
 def test_suffixes_are_sorted():
     """Pointers order all suffixes of spans of several documents as their bytes do, as far as windows reach."""
     rng = np.random.default_rng(9)
